@@ -110,7 +110,7 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
 
 def front_coded(strings: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray]:
     """Of sorted strings: common prefix with the one before, the rests, and the rests' lengths."""
-    lcp = [0] + [common_prefix(a, b, 0) for a, b in zip(strings, strings[1:], strict=False)]
+    lcp = [0][: len(strings)] + [common_prefix(a, b, 0) for a, b in zip(strings, strings[1:], strict=False)]
     rest = [s[k:] for s, k in zip(strings, lcp, strict=True)]
     return np.array(lcp, np.int32), b"".join(rest), np.array([len(r) for r in rest], np.int32)
 
