@@ -45,14 +45,29 @@ def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     return words, np.cumsum(np.r_[0, part[1:] != part[:-1]]), start[first], len(first)
 
 
-def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch: in how many documents, and toxic documents, each word stands."""
     for pdf in batches:
-        out = []
-        for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-            w, s, _, n = sentences(text)
-            both = np.unique(np.rec.fromarrays([s.astype(np.int32), w])) if n else None
-            out.append((int(toxic), n, both.f0.tobytes() if n else b"", both.f1.tobytes() if n else b""))
-        yield pd.DataFrame(out, columns=["toxic", "n", "s", "w"])
+        own = [np.unique(sentences(t)[0]) for t in pdf["text"]]
+        if own:
+            w, at = np.unique(np.concatenate(own), return_inverse=True)
+            toxic = np.repeat(pdf["toxic"].to_numpy(float), [len(x) for x in own])
+            yield pd.DataFrame({"w": w.view(np.int64), "df": np.bincount(at, minlength=len(w)), "pos": np.bincount(at, toxic, len(w)).astype(np.int64)})
+
+
+def _bags(words: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+                w, s, _, n = sentences(text)
+                k = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                hit = words[k] == w
+                both = np.unique(np.stack([s[hit], k[hit]]), axis=1).astype(np.int32)
+                out.append((int(toxic), n, both[0].tobytes(), both[1].tobytes()))
+            yield pd.DataFrame(out, columns=["toxic", "n", "s", "c"])
+
+    return run
 
 
 class Model:
@@ -73,34 +88,17 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum())) if len(s) else 0.0
 
 
-def fit(bags: pd.DataFrame, vocabulary: int, least_docs: int, steps: int = 400) -> Model:
-    """bags: toxic, n (sentences), s and w (sentence number and word hash of each distinct word of each sentence)."""
-    y = bags["toxic"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
-    n = bags["n"].to_numpy()
-    words = np.concatenate([np.frombuffer(x, np.uint64) for x in bags["w"]])
-    count = np.array([len(x) // 8 for x in bags["w"]])
-    doc = np.repeat(np.arange(len(y)), count)
-    sent = np.concatenate([np.frombuffer(x, np.int32) for x in bags["s"]]) + np.repeat(np.r_[0, np.cumsum(n)[:-1]], count)
-    known, at = np.unique(words, return_inverse=True)
-    # documents of each kind that have each word
-    pair = np.unique(at.astype(np.int64) * len(y) + doc)
-    of, where = pair // len(y), pair % len(y)
-    df, pos = np.bincount(of, minlength=len(known)), np.bincount(of, y[where], len(known))
-    base = y.mean()
-    surprise = np.where(df >= least_docs, (pos - df * base) / np.sqrt(df * base * (1 - base)), 0)
-    keep = np.sort(np.argsort(-np.abs(surprise), kind="stable")[:vocabulary])
-    keep = keep[np.abs(surprise[keep]) > 2]
-    column = np.full(len(known), -1)
-    column[keep] = np.arange(len(keep))
-    use = column[at] >= 0
-    row, inv = np.unique(sent[use], return_inverse=True)
-    col = column[at[use]]
+def fit(bags: pd.DataFrame, words: np.ndarray, surprise: np.ndarray, steps: int = 400) -> Model:
+    """bags: toxic, n (sentences), s and c (sentence and column of each known word of each sentence); words and surprise by column."""
+    y, n = bags["toxic"].to_numpy(float), bags["n"].to_numpy()
+    count = np.array([len(x) // 4 for x in bags["c"]])
+    sent = np.concatenate([np.frombuffer(x, np.int32) for x in bags["s"]]).astype(np.int64) + np.repeat(np.r_[0, np.cumsum(n)[:-1]], count)
+    col = np.concatenate([np.frombuffer(x, np.int32) for x in bags["c"]])
+    row, inv = np.unique(sent, return_inverse=True)
     owner = np.searchsorted(np.cumsum(n), row, side="right")
     plain = n - np.bincount(owner, minlength=len(y))  # sentences without a known word
-    theta, bias = np.clip(surprise[keep] / 4, -2, 4), -5.0
-    m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
+    theta, bias = np.clip(surprise / 4, -2, 4), -5.0
+    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for t in range(1, steps + 1):
         z = np.clip(bias + np.bincount(inv, theta[col], len(row)), -30, 30)
         s, s0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
@@ -109,11 +107,11 @@ def fit(bags: pd.DataFrame, vocabulary: int, least_docs: int, steps: int = 400)
         # d(-log likelihood)/d quiet, with d quiet / dz = -s
         g = np.where(y > 0, (1 - p) / p, -1.0)
         dz = -g[owner] * s
-        grad = np.r_[np.bincount(col, dz[inv], len(keep)) + 0.05 * theta, dz.sum() - (g * plain).sum() * s0] / len(y)
+        grad = np.r_[np.bincount(col, dz[inv], len(words)) + 0.05 * theta, dz.sum() - (g * plain).sum() * s0] / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         theta, bias = theta - move[:-1], float(bias - move[-1])
-    return Model(known[keep], theta, bias)
+    return Model(words, theta, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: int = 1000, least_docs: int = 4) -> Model:
@@ -121,7 +119,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary:
     n = max(1, lab.count())
     lab = lab.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) < sample / n * 1_000_000).withColumnRenamed("doc_id", "__d")
     rows = docs.select("doc_id", "text").join(lab, F.col("doc_id") == F.col("__d")).select("text", "toxic")
-    return fit(rows.mapInPandas(_bags, "toxic int, n long, s binary, w binary").toPandas(), vocabulary, least_docs)
+    docs_n, toxic_n = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not toxic_n or toxic_n == docs_n:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
+    base = toxic_n / docs_n
+    counts = rows.mapInPandas(_counted, "w long, df long, pos long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    counts = counts.where(F.col("df") >= least_docs).withColumn("x", (F.col("pos") - F.col("df") * base) / F.sqrt(F.col("df") * (base * (1 - base))))
+    top = counts.where(F.abs("x") > 2).orderBy(F.abs("x").desc(), "w").limit(vocabulary).select("w", "x").toPandas()  # at most so many rows
+    if top.empty:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -5.0)
+    words = top["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return fit(rows.mapInPandas(_bags(words[order]), "toxic int, n long, s binary, c binary").toPandas(), words[order], top["x"].to_numpy()[order])
 
 
 def _scored(model: Model):
