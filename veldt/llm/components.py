@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import Table
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each vertex is either the centre of its edges or has a single edge, to a centre."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per.agg(F.count_if(F.expr("out > 1 or out = 1 and into = 1"))).first()[0] == 0
 
 
 def _joined(edges: DataFrame, mins: DataFrame) -> tuple[DataFrame, Table]:
@@ -24,22 +27,18 @@ def components(edges: DataFrame) -> DataFrame:
     Every step writes its edges to the shared folder. Large-star links each
     vertex's larger neighbours to its smallest; small-star links a vertex and
     its smaller neighbours to the smallest. Both keep the components and end
-    in stars, in about log2 of the longest path's rounds. No vertex's
-    neighbours are gathered: only their minimum is.
+    in stars, in about log2 of the longest path's rounds; stars need none. No
+    vertex's neighbours are gathered: only their minimum is.
     """
     e = Table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(e.df)
-    while True:
+    while not _stars(e.df):
         both = e.df.union(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         big, m1 = _joined(both.where("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = Table(big.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         small, m2 = _joined(large.df, large.df.groupBy("u").agg(F.min("v").alias("m")))
         pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(m2.df.select("u", F.col("m").alias("v")))
         new = Table(pairs.distinct(), "edges")
-        after = _state(new.df)
         for t in (e, m1, large, m2):
             t.drop()
         e = new
-        if after == state:
-            return e.df.groupBy("u").agg(F.min("v").alias("component")).union(e.df.select("v", "v").distinct().toDF("u", "component"))
-        state = after
+    return e.df.select("u", F.col("v").alias("component")).union(e.df.select("v", "v").distinct())

@@ -15,9 +15,10 @@ components are the result; so no link between components is lost.
 
 Cases: a null, empty or blank text has no shingles, is linked with nothing and
 kept; a text of fewer words than a shingle has its whole sequence as its one
-shingle; rows of one doc_id are one vertex; a row without doc_id is linked
-with nothing and kept; an empty table gives an empty result; names that start
-with two underscores are reserved.
+shingle; rows of one doc_id with equal texts are one vertex, with different
+texts each is placed by its own text; a row without doc_id is linked with
+nothing and kept; an empty table gives an empty result; names that start with
+two underscores are reserved.
 
 At a similarity of 0.8 a pair misses all of 25 bands of 4 with probability
 (1 - 0.8^4)^25 = 2e-6.
@@ -58,6 +59,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Two sets and the components they are in.
+_PAIR, _PAIR_DDL = ["u", "v", "cu", "cv"], "u long, v long, cu long, cv long"
+
 #: Bytes that are not white space.
 NOT_SPACE = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
 
@@ -122,8 +126,8 @@ def _alike(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint32).reshape(len(pdf), -1) for c in ("__s1", "__s2"))
-                yield pdf.loc[(x == y).mean(axis=1) >= least, ["u", "v"]]
+                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint32).reshape(len(pdf), -1) for c in ("__sig1", "__sig2"))
+                yield pdf.loc[(x == y).mean(axis=1) >= least, _PAIR]
 
     return run
 
@@ -132,75 +136,83 @@ def _linked(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
-            for x, y in zip(pdf["__s1"], pdf["__s2"], strict=True):
+            for x, y in zip(pdf["__set1"], pdf["__set2"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 k = np.searchsorted(x, y)
                 k[k == len(x)] = 0
                 both = int((x[k] == y).sum())
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[np.array(ok, bool), ["u", "v"]]
+            yield pdf.loc[np.array(ok, bool), _PAIR]
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 4, pivots: int = 3, alike: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 4, pivots: int = 3, alike: float = 0.6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the smallest doc_id of its component); a row for each row of docs.
 
     alike: candidates of which a smaller share of minima agrees are dropped;
-    at a true similarity of 0.8 that loses a pair with probability 1e-11.
+    at a true similarity of 0.8 that loses a pair with probability 3e-6.
     """
     vs = docs.select(F.col("doc_id").cast("bigint").alias("__v"), "text")
     sk = materialize(vs.mapInPandas(_sketch(width, bands * rows), "__v long, n_shingles long, __f1 long, __f2 long, __sig binary"), "sketches")
-    usable = sk.where("n_shingles > 0 and __v is not null")
-    rep = materialize(usable.groupBy("__f1", "__f2", "n_shingles").agg(F.min("__v").alias("__rep")), "sets")
     same = ["__f1", "__f2", "n_shingles"]
-    members = materialize(usable.join(rep, same).select("__v", "__rep", *same, F.when(F.col("__v") == F.col("__rep"), F.col("__sig")).alias("__sig")), "members")
-    reps = members.where("__sig is not null").select("__v", "n_shingles", "__sig").dropDuplicates(["__v", "n_shingles"])
+    # equal sets have equal signatures, so any member's serves
+    rep = sk.where("n_shingles > 0 and __v is not null").groupBy(*same).agg(F.min("__v").alias("__rep"), F.first("__sig").alias("__sig"))
+    rep = materialize(rep, "sets")
+    sig = rep.select(F.col("__rep").alias("__v"), "n_shingles", "__sig")
     step = 4 * rows
     bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("__sig", i * step + 1, step)) for i in range(bands)])).alias("__b")
-    banded = reps.select("__v", bucket)
+    banded = sig.select("__v", bucket)
     shared = materialize(banded.groupBy("__b").agg(F.min("__v").alias("__first"), F.max("__v").alias("__last")).where("__first < __last"), "buckets")
     # buckets of one set are gone from here on
     banded = materialize(banded.join(shared, "__b").select("__b", "__v", "__first"), "banded")
-    sizes = materialize(reps.groupBy("__v").agg(F.min("n_shingles").alias("n"), F.max("n_shingles").alias("nx")), "lengths")
-    sig = reps.select("__v", "__sig")
 
-    def side(pairs: DataFrame, what: DataFrame, at: str, col: str, to: str) -> DataFrame:
-        return pairs.join(what.select(F.col("__v").alias(at), F.col(col).alias(to)), at)
+    def side(pairs: DataFrame, what: DataFrame, at: str, suffix: str) -> DataFrame:
+        return pairs.join(what.select(F.col("__v").alias(at), *[F.col(c).alias(c + suffix) for c in what.columns if c != "__v"]), at)
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that are links, by length, signature and then full sets."""
-        p = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        p = side(side(p, sizes, "u", "n", "__n1"), sizes, "v", "n", "__n2")
-        p = side(side(p, sizes, "u", "nx", "__x1"), sizes, "v", "nx", "__x2")
-        p = p.where((100 * F.least("__x1", "__x2") >= percent * F.greatest("__n1", "__n2"))).select("u", "v")
-        p = side(side(p, sig, "u", "__sig", "__s1"), sig, "v", "__sig", "__s2").mapInPandas(_alike(alike), "u long, v long").distinct()
-        p = materialize(p, "candidates")
+        """Those of the pairs (u, v) that are links, by length, signature and then full sets, with their components (cu, cv)."""
+        p = side(side(pairs.distinct(), sig, "u", "1"), sig, "v", "2")
+        p = p.where(100 * F.least("n_shingles1", "n_shingles2") >= percent * F.greatest("n_shingles1", "n_shingles2"))
+        p = materialize(p.select(*_PAIR, "__sig1", "__sig2").mapInPandas(_alike(alike), _PAIR_DDL), "candidates")
         ids = materialize(p.select(F.col("u").alias("__v")).union(p.select("v")).distinct(), "wanted")
-        sets = materialize(vs.join(ids, "__v").mapInPandas(_sets(width), "__v long, __set binary"), "full")
-        return materialize(side(side(p, sets, "u", "__set", "__s1"), sets, "v", "__set", "__s2").mapInPandas(_linked(percent), "u long, v long"), "links")
-
-    found = links(banded.where("__v <> __first").select(F.col("__first").alias("u"), F.col("__v").alias("v")))
+        # a million ids are 8 MB; more are joined by a shuffle of the texts
+        wanted = vs.join(F.broadcast(ids) if small_enough(ids, 1_000_000) else ids, "__v")
+        sets = materialize(wanted.mapInPandas(_sets(width), "__v long, __set binary"), "full")
+        return materialize(side(side(p, sets, "u", "1"), sets, "v", "2").mapInPandas(_linked(percent), _PAIR_DDL), "links")
+
+    def placed(at: DataFrame, by: DataFrame) -> DataFrame:
+        """at with the component __c replaced by the one that it is now part of."""
+        return at.join(by.select(F.col("u").alias("__c"), "component"), "__c", "left").withColumn("__c", F.coalesce("component", "__c")).drop("component")
+
+    found = links(banded.where("__v <> __first").select(F.col("__first").alias("u"), F.col("__v").alias("v"), F.col("__first").alias("cu"), F.col("__v").alias("cv")))
+    steps = [materialize(components(found), "components")]
+    at = placed(banded.select("__b", "__v", F.col("__v").alias("__c")), steps[0])
     for turn in range(pivots):
-        comp = materialize(components(found), "components")
-        at = banded.select("__b", "__v").join(comp.withColumnRenamed("u", "__v"), "__v", "left").select("__b", "__v", F.coalesce("component", "__v").alias("__c"))
         at = materialize(at, "placed")
         pivot = F.min_by(F.struct("__v", "__c"), F.struct(F.xxhash64(F.lit(turn), "__v"), "__v"))
         open_ = materialize(at.groupBy("__b").agg(F.min("__c").alias("__lo"), F.max("__c").alias("__hi"), pivot.alias("__p")).where("__lo < __hi"), "open")
         if open_.isEmpty():
             break
-        at = at.join(open_.select("__b", "__p"), "__b")
+        at = materialize(at.join(open_.select("__b", "__p"), "__b"), "opened")
+        rest = at.where(F.col("__c") != F.col("__p")["__c"])
         if turn < pivots - 1:
-            pairs = at.where(F.col("__c") != F.col("__p")["__c"]).select(F.col("__p")["__v"].alias("u"), F.col("__v").alias("v"))
+            pairs = rest.select(F.col("__p")["__v"].alias("u"), F.col("__v").alias("v"), F.col("__p")["__c"].alias("cu"), F.col("__c").alias("cv"))
         else:
             # what is not in the pivot's component meets every other component; the rest is one component
-            rest = at.where(F.col("__c") != F.col("__p")["__c"]).select("__b", F.col("__v").alias("u"), F.col("__c").alias("__cu"))
-            pairs = rest.join(at.select("__b", F.col("__v").alias("v"), "__c"), "__b").where("__cu <> __c").select("u", "v")
-        found = materialize(found.union(links(pairs)).distinct(), "links")
-    comp = components(found).withColumnRenamed("u", "__rep")
-    placed = members.select("__v", "__rep", *same).distinct().join(comp, "__rep", "left").select("__v", *same, F.coalesce("component", "__rep").alias("__c"))
-    on = [sk[c] == placed[c] for c in ("__v", *same)]
-    out = sk.join(placed, on, "left").select(sk["__v"].alias("doc_id"), sk["n_shingles"], F.coalesce(placed["__c"], sk["__v"]).alias("component_id"))
+            rest = rest.select("__b", F.col("__v").alias("u"), F.col("__c").alias("cu"))
+            pairs = rest.join(at.select("__b", F.col("__v").alias("v"), F.col("__c").alias("cv")), "__b").where("cu <> cv")
+        swap = F.col("u") > F.col("v")
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(swap, F.col("cv")).otherwise(F.col("cu")).alias("cu"), F.when(swap, F.col("cu")).otherwise(F.col("cv")).alias("cv"))
+        found = links(pairs)
+        # the components found so far are the vertices of the next ones
+        steps.append(materialize(components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "components"))
+        at = placed(at.drop("__p"), steps[-1])
+    own = sk.select("__v", *same).withColumn("__on", F.col("__v").isNotNull())
+    out = own.join(rep.select(*same, "__rep", F.lit(True).alias("__on")), [*same, "__on"], "left").select("__v", "n_shingles", F.coalesce("__rep", "__v").alias("__c"))
+    for by in steps:
+        out = placed(out, by)
+    out = out.select(F.col("__v").alias("doc_id"), "n_shingles", F.col("__c").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
