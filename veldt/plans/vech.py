@@ -119,6 +119,16 @@ def _(s, d):
     return li.join(cls, F.col("l_partkey") == F.col("rv_partkey")).groupBy("l_returnflag", "l_linestatus", "class_id").agg(F.sum("qty").cast("double").alias("sum_qty"), F.sum("amount").cast("double").alias("sum_disc_price"), F.count(F.lit(1)).alias("n"))
 
 
+@query("vech_q1_end", f"WITH {CTES}, near AS (SELECT rv_partkey, qid FROM (SELECT rv_partkey, rv_reviewkey, qid, list_sum(list_transform(list_zip(rv_embedding, qv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM reviews, qs WHERE qid < 3) x QUALIFY row_number() OVER (PARTITION BY rv_reviewkey ORDER BY d, qid) = 1) SELECT l_returnflag, l_linestatus, qid AS class_id, CAST(SUM(qty) AS DOUBLE) AS sum_qty, CAST(SUM(amount) AS DOUBLE) AS sum_disc_price, COUNT(*) AS n FROM li JOIN near ON l_partkey = rv_partkey WHERE l_shipdate <= DATE '2000-09-02' GROUP BY ALL")
+def _(s, d):
+    # as q1_start, with a row for every review of a part
+    near = V.knn_join(reviews(s, d), queries_(s, d, "qid < 3"), "rv_reviewkey", "qid", "rv_embedding", "qv", radius=float("inf"))
+    near = V.nearest(near, ["rv_reviewkey"], "vs_distance", "qid", 1).groupBy("rv_partkey", F.col("qid").alias("class_id")).agg(F.count(F.lit(1)).alias("m"))
+    li = lineitem(s, d).where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("date"))
+    j = li.join(near, F.col("l_partkey") == F.col("rv_partkey"))
+    return j.groupBy("l_returnflag", "l_linestatus", "class_id").agg(F.sum(F.col("qty") * F.col("m")).cast("double").alias("sum_qty"), F.sum(F.col("amount") * F.col("m")).cast("double").alias("sum_disc_price"), F.sum("m").alias("n"))
+
+
 @query("vech_q2_start", W + "SELECT s_suppkey, p_partkey, CAST(ps_supplycost AS DOUBLE) AS cost, dist FROM ni JOIN images ON id = i_imagekey JOIN part ON i_partkey = p_partkey JOIN ps ON p_partkey = ps_partkey JOIN supplier ON s_suppkey = ps_suppkey WHERE ps_supplycost = (SELECT min(p2.ps_supplycost) FROM ps p2 WHERE p2.ps_partkey = p_partkey)")
 def _(s, d):
     near = near_images(s, d, cond=F.col("i_variant") == "MAIN").select("i_partkey", F.round("vs_distance", 5).alias("dist"))
@@ -193,3 +203,10 @@ def _(s, d):
     p = read(s, d, "part").join(hit, F.col("p_partkey") == F.col("pk"), "left")
     j = lineitem(s, d).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return j.where("(p_brand = 'Brand#12' and l_quantity between 1 and 11) or (p_brand = 'Brand#23' and p_size < 10) or pk is not null").agg(F.sum("amount").cast("double").alias("revenue"))
+
+
+@query("vech_q_test", f"WITH {CTES} " + _top("reviews JOIN part ON rv_partkey = p_partkey", "rv_reviewkey", "rv_embedding", "qid = 0 AND p_size > 30 AND rv_partkey < 100000", metric="IP"))
+def _(s, d):
+    p = read(s, d, "part", "p_partkey", "p_size").where("p_size > 30")
+    r = reviews(s, d).where("rv_partkey < 100000").join(p, F.col("rv_partkey") == F.col("p_partkey"))
+    return _out(V.knn_join(r, queries_(s, d, "qid = 0"), "rv_reviewkey", "qid", "rv_embedding", "qv", K, metric="IP"), "rv_reviewkey")
