@@ -70,7 +70,7 @@ class Segment:
     """Term lists of some whole documents. Places count words; each document is followed by `gap` places without a word, so no match crosses documents."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, ends: np.ndarray, places: np.ndarray):
-        self.starts, self.where = starts, {int(t): (int(a), int(b)) for t, a, b in zip(terms, np.r_[0, ends[:-1]], ends, strict=True)}
+        self.starts, self.where = starts, {int(t): (int(a), int(b)) for t, a, b in zip(terms, np.r_[0, ends][:-1], ends, strict=True)}
         self.places = places
 
     def list(self, term: int) -> np.ndarray:
