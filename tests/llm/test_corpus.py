@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 from collections import Counter
 
 import duckdb
@@ -240,7 +239,7 @@ def test_pipeline(spark):
     d = docs
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"] for r in d.select("doc_id").collect()}
-        d = stage(spark, d, SF)
+        fed, d = d, stage(spark, d, SF)
         rows = d.collect()
         assert {r["doc_id"] for r in rows} <= before and rows, name
         if name != "mix":
@@ -251,4 +250,8 @@ def test_pipeline(spark):
             assert left.where("not kept").count() == 0
         if name == "decontaminate":
             assert decontam.find_leaks(d, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").count() == 0
-    assert max(r["copy"] for r in rows) <= 3 and all(re.search(r"\S", r["text"]) for r in rows)
+        if name == "mix":
+            # blank texts have size 0 and may be emitted, as the operator states
+            copies = Counter(r["doc_id"] for r in rows)
+            took = {r["doc_id"]: r["copies"] for r in mixing.mix(fed).collect() if r["copies"]}
+            assert copies == took and max(r["copy"] for r in rows) <= 3
