@@ -199,6 +199,29 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {d: (len(s), comp[d], comp[d] == d) for d, s in sets.items()}
 
 
+def test_apart_joins_all_links(spark):
+    """Two groups of random edits: the pairs connect just the sets that links between all pairs connect."""
+    r = random.Random(11)
+    sets = {}
+    for v in range(80):
+        own = {10_000 * (v % 2) + i for i in range(60)} | {50_000 + r.randrange(9) for _ in range(r.randrange(8))}
+        sets[v] = {e for e in own if r.random() > r.choice([0.02, 0.1, 0.2])} | {10**6 + v}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    rows = [(v % 2, v, v, bytearray(minhash.np.array(sorted(s), minhash.np.int64).tobytes())) for v, s in sets.items()]
+    pairs = minhash._apart(spark.createDataFrame(rows, "__k long, __v long, __c long, __set binary"), 80).collect()
+
+    def classes(links):
+        comp = {v: v for v in sets}
+        for _ in sets:
+            for a, b in links:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        return comp
+
+    exact = [(a, b) for a in sets for b in sets if a % 2 == b % 2 and a < b and alike(a, b)]
+    assert classes([(p["u"], p["v"]) for p in pairs if alike(p["u"], p["v"])]) == classes(exact)
+    assert len(set(classes(exact).values())) > 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (103, 102), (101, 102), (200, 200)]
     got = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())

@@ -9,9 +9,12 @@ are verified on their full sets.
 
 No bucket is expanded into all its pairs. A bucket is a star around a pivot
 first; links found join sets into components, and only buckets whose sets are
-still in several components go on, with another pivot, and at last with every
-pair of their different components. Pairs within a component need no test, as
-components are the result; so no link between components is lost.
+still in several components go on, with another pivot. At last each set is
+written as what it lacks of and adds to the shingles that most sets of its
+group hold (see `_apart`): sets that need no common difference to be linked are
+linked with the one nearest that majority, and all others are found by their
+rarest common differences. Pairs within a component need no test, as components
+are the result; so no link between components is lost.
 
 Cases: a null, empty or blank text has no shingles, is linked with nothing and
 kept; a text of fewer words than a shingle has its whole sequence as its one
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_enough, table
@@ -147,6 +150,66 @@ def _linked(percent: int):
     return run
 
 
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many of a batch's sets hold a shingle, by group."""
+    for pdf in batches:
+        for k, g in pdf.groupby("__k"):
+            e, n = np.unique(np.frombuffer(b"".join(g["__set"]), np.int64), return_counts=True)
+            yield pd.DataFrame({"__k": k, "__e": e, "__n": n})
+
+
+def _differences(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s, base in zip(pdf["__set"], pdf["__base"], strict=True):
+                s, base = np.frombuffer(s, np.int64), np.asarray([] if base is None else base, np.int64)
+                d = np.setxor1d(s, base, assume_unique=True)
+                both = (len(s) + len(base) - len(d)) // 2
+                out.append((percent * len(s) - (100 + percent) * both, (100 + percent) * len(base), d))
+            yield pdf[["__k", "__v", "__c"]].assign(__a=[x[0] for x in out], __t=[x[1] for x in out], __d=[x[2] for x in out])
+
+    return run
+
+
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that join all linked sets of different components (cu, cv) of each group in members(__k, __v, __c, __set).
+
+    A group is named by one of its components, best its largest; its base B are
+    the shingles that over half its sets hold. With n shingles, b of them in B,
+    sets x and y share b_x + b_y - |B| shingles, and besides as many as they
+    share differences from B (what they lack of it or add to it). So they are
+    linked if a_x + a_y + t is at most (100 + percent) times the differences
+    shared, where a = percent * n - (100 + percent) * b, t = (100 + percent) * |B|.
+
+    Where that sum is at most 0 for x and y, it is so for each of them and the
+    set of the least a: these pairs stand for all such. Others share a
+    difference, and from the first they share, by frequency, both have at least
+    as many left as they need. Any B gives the same links, the majority's
+    with few differences.
+    """
+    counts = members.select("__k", "__set").mapInPandas(_counts, "__k long, __e long, __n long")
+    # a shingle of over half of two or more sets is in two at least
+    counts = counts.groupBy("__k", "__e").agg(F.sum("__n").alias("__n")).where("__n > 1")
+    sizes = members.groupBy("__k").agg(F.count("*").alias("__of"))
+    base = counts.join(sizes, "__k").where("2 * __n > __of").groupBy("__k").agg(F.collect_list("__e").alias("__base"))
+    sets = materialize(members.join(materialize(base, "bases"), "__k", "left").mapInPandas(_differences(percent), "__k long, __v long, __c long, __a long, __t long, __d array<long>"), "differences")
+    best = materialize(sets.groupBy("__k").agg(F.min_by(F.struct("__v", "__c"), F.struct("__a", "__v")).alias("__p"), F.min("__a").alias("__least")), "best")
+    near = sets.join(best, "__k").where((F.col("__a") + F.col("__least") + F.col("__t") <= 0) & (F.col("__c") != F.col("__p")["__c"]))
+    near = near.select(F.col("__p")["__v"].alias("u"), F.col("__v").alias("v"), F.col("__p")["__c"].alias("cu"), F.col("__c").alias("cv"))
+    each = sets.select("__k", "__v", "__c", "__a", "__t", F.explode("__d").alias("__e"))
+    often = each.groupBy("__k", "__e").agg(F.count("*").alias("__n"), F.max(F.col("__c") != F.col("__k")).alias("__out")).where("__n > 1 and __out")
+    left = F.row_number().over(Window.partitionBy("__k", "__v").orderBy(F.desc("__n"), F.desc("__e")))
+    each = each.join(often, ["__k", "__e"]).withColumn("__left", left).join(best.select("__k", "__least"), "__k")
+    each = materialize(each.where(F.col("__a") + F.col("__least") + F.col("__t") <= (100 + percent) * F.col("__left")).select("__k", "__e", "__v", "__c", "__a", "__t", "__left"), "postings")
+    x = each.where("__c <> __k").select("__k", "__e", F.col("__v").alias("u"), F.col("__c").alias("cu"), F.col("__a").alias("__a1"), F.col("__left").alias("__left1"))
+    y = each.withColumnsRenamed({"__v": "v", "__c": "cv"})
+    need = F.col("__a1") + F.col("__a") + F.col("__t")
+    enough = (need > 0) & (need <= (100 + percent) * F.least("__left1", "__left"))
+    far = x.join(y, ["__k", "__e"]).where(enough & F.expr("cu <> cv and (cv = __k or u < v)")).select(*_PAIR)
+    return near.union(far.distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 4, pivots: int = 3, alike: float = 0.6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the smallest doc_id of its component); a row for each row of docs.
 
@@ -170,15 +233,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     def side(pairs: DataFrame, what: DataFrame, at: str, suffix: str) -> DataFrame:
         return pairs.join(what.select(F.col("__v").alias(at), *[F.col(c).alias(c + suffix) for c in what.columns if c != "__v"]), at)
 
+    def full(ids: DataFrame) -> DataFrame:
+        """The sets (__v, __set) of distinct ids (__v)."""
+        # a million ids are 8 MB; more are joined by a shuffle of the texts
+        wanted = vs.join(F.broadcast(ids) if small_enough(ids, 1_000_000) else ids, "__v")
+        return wanted.mapInPandas(_sets(width), "__v long, __set binary")
+
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) that are links, by length, signature and then full sets, with their components (cu, cv)."""
         p = side(side(pairs.distinct(), sig, "u", "1"), sig, "v", "2")
         p = p.where(100 * F.least("n_shingles1", "n_shingles2") >= percent * F.greatest("n_shingles1", "n_shingles2"))
         p = materialize(p.select(*_PAIR, "__sig1", "__sig2").mapInPandas(_alike(alike), _PAIR_DDL), "candidates")
-        ids = materialize(p.select(F.col("u").alias("__v")).union(p.select("v")).distinct(), "wanted")
-        # a million ids are 8 MB; more are joined by a shuffle of the texts
-        wanted = vs.join(F.broadcast(ids) if small_enough(ids, 1_000_000) else ids, "__v")
-        sets = materialize(wanted.mapInPandas(_sets(width), "__v long, __set binary"), "full")
+        sets = materialize(full(materialize(p.select(F.col("u").alias("__v")).union(p.select("v")).distinct(), "wanted")), "full")
         return materialize(side(side(p, sets, "u", "1"), sets, "v", "2").mapInPandas(_linked(percent), _PAIR_DDL), "links")
 
     def placed(at: DataFrame, by: DataFrame) -> DataFrame:
@@ -195,13 +261,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         if open_.isEmpty():
             break
         at = materialize(at.join(open_.select("__b", "__p"), "__b"), "opened")
-        rest = at.where(F.col("__c") != F.col("__p")["__c"])
         if turn < pivots - 1:
+            rest = at.where(F.col("__c") != F.col("__p")["__c"])
             pairs = rest.select(F.col("__p")["__v"].alias("u"), F.col("__v").alias("v"), F.col("__p")["__c"].alias("cu"), F.col("__c").alias("cv"))
         else:
-            # what is not in the pivot's component meets every other component; the rest is one component
-            rest = rest.select("__b", F.col("__v").alias("u"), F.col("__c").alias("cu"))
-            pairs = rest.join(at.select("__b", F.col("__v").alias("v"), F.col("__c").alias("cv")), "__b").where("cu <> cv")
+            # buckets with the same largest component form a group
+            most = at.groupBy("__b", "__c").count().groupBy("__b").agg(F.max_by("__c", F.struct("count", "__c")).alias("__k"))
+            members = materialize(at.join(most, "__b").select("__k", "__v", "__c").distinct(), "members")
+            sets = materialize(full(members.select("__v").distinct()), "groups")
+            pairs = _apart(materialize(members.join(sets, "__v"), "grouped"), percent)
         swap = F.col("u") > F.col("v")
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(swap, F.col("cv")).otherwise(F.col("cu")).alias("cu"), F.when(swap, F.col("cu")).otherwise(F.col("cv")).alias("cv"))
         found = links(pairs)
