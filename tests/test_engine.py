@@ -74,6 +74,22 @@ def test_ivf_recall_and_store(spark, tmp_path):
     assert ivf.parse_spec("GPU,IVF16,Flat") == 16 and ivf.parse_spec("Flat") is None
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_ivf_recall(spark, sf):
+    d = f"/root/testdata/{sf}"
+    truth = registry.QUERIES["ivf_full_probe"](spark, d)
+    assert ivf.recall(registry.QUERIES["ivf_recall"](spark, d), truth, ["qid", "id"]) >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["L2", "IP"])
+def test_ivf_refined_is_exact(spark, metric):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    index = ivf.IVFIndex.build(e, "vec_id", "embedding", "IVF8,Flat", metric)
+    truth = V.knn_join(e, q, "vec_id", "qid", "embedding", "qv", 10, metric=metric)
+    assert ivf.recall(index.search(q, "qid", "qv", 10, nprobe=1, refine=True), truth, ["qid", "vec_id"]) == 1.0
+
+
 def test_scatter(spark):
     df = spark.createDataFrame([(9, 100), (1, 200), (3, 300), (1, 400), (9, 500), (3, 600)], "query_id int, value int")
     ports = R.scatter(df, "query_id", 3)

@@ -93,12 +93,16 @@ class IVFIndex:
         c = m["centroids"]
         return cls(spark.read.parquet(f"{path}/lists"), None if c is None else np.array(c), m["key"], m["col"], m["metric"])
 
-    def search(self, query: DataFrame, query_key: str, query_col: str, k: int | None = None, radius: float | None = None, nprobe: int = 10, where: Column | None = None, distance: str = "vs_distance") -> DataFrame:
+    def search(self, query: DataFrame, query_key: str, query_col: str, k: int | None = None, radius: float | None = None, nprobe: int = 10, where: Column | None = None, distance: str = "vs_distance", refine: bool = False) -> DataFrame:
         """Approximate k nearest (or those within radius) among the nprobe nearest lists; exact if all are probed.
 
+        refine, for k nearest only: lists beyond these are probed too where a bound on
+        their distance lets them hold a vector nearer than the k-th found, so the result is exact.
         where may mention columns of both sides. Columns: the query's, data's without vectors, the distance.
         """
         data = self.lists.drop("__list")
+        if refine and k is None:
+            raise ValueError("refine needs k")
         if self.centroids is None and where is None:
             return knn_join(data, query, self.key, query_key, self.col, query_col, k, radius, self.metric, distance=distance)
         if self.centroids is None or not len(self.centroids):
@@ -111,14 +115,54 @@ class IVFIndex:
                 return pd.Series([list(map(int, r)) for r in _closest(c, _matrix(v), metric, n)])
 
             probes = query.withColumn("__list", F.explode(lists(F.col(query_col))))
-        pairs = self.lists.join(probes, "__list")
-        pairs = (pairs.where(where) if where is not None else pairs).withColumn(distance, DISTANCES[self.metric](self.col, query_col))
-        if radius is not None:
-            pairs = pairs.where(F.col(distance) < radius if self.metric == "L2" else F.col(distance) > radius)
-        if k is not None:
-            pairs = nearest(pairs, [query_key], distance, self.key, k, self.metric)
+
+        def found(probes: DataFrame) -> DataFrame:
+            pairs = self.lists.join(probes, "__list")
+            pairs = (pairs.where(where) if where is not None else pairs).withColumn(distance, DISTANCES[self.metric](self.col, query_col))
+            if radius is not None:
+                pairs = pairs.where(F.col(distance) < radius if self.metric == "L2" else F.col(distance) > radius)
+            return pairs if k is None else nearest(pairs, [query_key], distance, self.key, k, self.metric)
+
+        pairs = found(probes)
+        if refine and self.centroids is not None and nprobe < len(self.centroids):
+            pairs = nearest(pairs.unionByName(found(self._left(query, query_key, query_col, pairs, k, nprobe, distance))), [query_key], distance, self.key, k, self.metric)
         return pairs.select(*[c for c in query.columns if c != query_col], *[c for c in data.columns if c != self.col], distance)
 
+    def _radii(self) -> np.ndarray:
+        """The distance of each list's farthest vector from its centroid; a row a list comes to the driver."""
+        c = self.centroids
+
+        @F.pandas_udf("double")
+        def off(own: pd.Series, v: pd.Series) -> pd.Series:
+            return pd.Series(np.sqrt(((_matrix(v) - c[own.to_numpy()]) ** 2).sum(axis=1)) if len(v) else [], dtype="float64")
+
+        far = np.full(len(c), -np.inf)
+        for i, r in self.lists.groupBy("__list").agg(F.max(off("__list", self.col))).collect():
+            far[i] = r
+        return far
+
+    def _left(self, query: DataFrame, query_key: str, query_col: str, near: DataFrame, k: int, nprobe: int, distance: str) -> DataFrame:
+        """query with each __list beyond the nprobe nearest that may hold a vector as near as the k-th of near."""
+        c, far, metric = self.centroids, self._radii(), self.metric
+        last = (F.max if metric == "L2" else F.min)(distance)
+        kth = near.groupBy(F.col(query_key).alias("__q")).agg(F.when(F.count(F.lit(1)) >= k, last).alias("__kth"))
+
+        @F.pandas_udf("array<int>")
+        def lists(v: pd.Series, kth: pd.Series) -> pd.Series:
+            q = _matrix(v)
+            if not len(q):
+                return pd.Series([], dtype=object)
+            d = distances(c, q, metric).T
+            # by the triangle inequality, and by Cauchy-Schwarz; a little slack for rounding
+            bound = np.maximum(np.sqrt(np.maximum(d, 0)) - far, 0) ** 2 if metric == "L2" else -d - np.sqrt((q**2).sum(axis=1))[:, None] * far
+            worst = kth.to_numpy(np.float64) * (1 if metric == "L2" else -1)
+            may = (far >= 0) & ~(bound > (worst + 1e-9 * (1 + np.abs(worst)))[:, None])
+            np.put_along_axis(may, _closest(c, q, metric, nprobe), False, axis=1)
+            return pd.Series([np.flatnonzero(r).tolist() for r in may])
+
+        joined = query.join(kth, F.col(query_key).eqNullSafe(F.col("__q")), "left")
+        return joined.withColumn("__list", F.explode(lists(F.col(query_col), F.col("__kth")))).drop("__q", "__kth")
+
 
 def recall(found: DataFrame, truth: DataFrame, keys: list[str]) -> float:
     """Share of truth's rows, by keys, that found has."""

@@ -98,7 +98,7 @@ def _micro():
     add("knn_partitioned", lambda s, d: gather([_out(near_reviews(s, d, f"qid % 5 = {g}", cond=F.col("rv_rating") >= g + 1), "rv_reviewkey") for g in range(5)]), _top(*r, "rv_rating >= qid % 5 + 1"))
     add("project_distance", lambda s, d: V.project_distance(images(s, d).where("i_variant = 'MAIN'"), queries_(s, d, "qid < 3"), "i_embedding", "qv", keep_data=False, keep_query=False).select("qid", F.col("i_imagekey").alias("id"), F.round("Distance", 5).alias("dist")), f"SELECT qid, i_imagekey AS id, {L2.format(a='i_embedding', b='qv')} AS dist FROM images, qs WHERE i_variant = 'MAIN' AND qid < 3")
     add("ivf_full_probe", lambda s, d: _out(ivf.IVFIndex.build(images(s, d), "i_imagekey", "i_embedding", "IVF8,Flat").search(queries_(s, d), "qid", "qv", K, nprobe=8), "i_imagekey"), _top(*i))
-    add("ivf_recall", lambda s, d: _out(ivf.IVFIndex.build(images(s, d), "i_imagekey", "i_embedding", "IVF8,Flat").search(queries_(s, d), "qid", "qv", K, nprobe=3), "i_imagekey"), None)
+    add("ivf_recall", lambda s, d: _out(ivf.IVFIndex.build(images(s, d), "i_imagekey", "i_embedding", "IVF8,Flat").search(queries_(s, d), "qid", "qv", K, nprobe=3, refine=True), "i_imagekey"), None)
     add("ivf_range", lambda s, d: _out(ivf.IVFIndex.build(images(s, d), "i_imagekey", "i_embedding", "IVF8,Flat").search(queries_(s, d), "qid", "qv", radius=1.2, nprobe=8), "i_imagekey"), f"SELECT qid, i_imagekey AS id, {L2.format(a='i_embedding', b='qv')} AS dist FROM images, qs WHERE list_sum(list_transform(list_zip(i_embedding, qv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) < 1.2")
 
 
