@@ -149,6 +149,17 @@ def test_licenses(docs):
     assert r[0]["labels"] == "" and r[4]["n_words"] == 0 and r[4]["first_word"] is None
 
 
+def test_licenses_verify_every_beginning(spark):
+    notice = next(t for x, t, _ in licenses.TEMPLATES if x == "gpl-3")
+    old = notice.replace("version 3", "version 2")
+    texts = [f"{old} {notice}", f"{notice} {old}", f"{old} {prose(2, 40)} {old} {notice} {old}", old, f"{old} {old}", notice, None]
+    # these words are the rarest in the corpus, so 3 is no anchor and both versions have the same votes
+    frequent = " ".join(sorted(set(notice.split()) - set("program you can redistribute modify terms published foundation".split())))
+    rows = list(enumerate(texts)) + [(100 + i, frequent) for i in range(20)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == [("gpl-3", 1.0)] * 3 + [("", 0.0)] * 2 + [("gpl-3", 1.0), ("", 0.0)]
+
+
 def brute_repeats(texts, n):
     seen = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
     for b in texts:

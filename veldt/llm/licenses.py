@@ -5,14 +5,15 @@ is indexed under its `anchors` words of highest IDF, with their places. A file
 looks up its own highest-IDF licence words, each posting votes for the place at
 which the template would begin, and the votes are intersected by relative
 position: the share of a template's anchors that agree on one beginning is its
-score. A label is given where that share reaches `least` and every mandatory
-key phrase of the template stands within the stretch the template would cover.
+score. A label is given where any beginning has a share that reaches `least` and
+every mandatory key phrase of the template within the stretch the template would
+cover; the score is the largest share of such beginnings.
 Base phrases are labelled wherever their words stand consecutively.
 
 Cases: a null or empty text has no words and no label, score 0; words are runs
 of characters other than ASCII punctuation, space and controls, compared with
-A-Z lower-cased; ties of beginnings go to the earliest; an empty table gives an
-empty result; repeated rows are scanned alike; other columns are not looked at.
+A-Z lower-cased; all beginnings that reach `least` are verified; an empty table
+gives an empty result; repeated rows are scanned alike; other columns are not looked at.
 Templates, and so the index, have a fixed size, whatever the corpus.
 """
 
@@ -100,8 +101,29 @@ def _places(ws: Column, phrase: str) -> Column:
     return F.array_compact(at)
 
 
-def _within(at: Column, n: int, slack: int = 3):
-    return lambda p: (p >= at - slack) & (p <= at + n + slack)
+def _beginnings(v: str, n: int, least: float) -> Column:
+    """The places, with their votes, for which at least that share of n anchors votes. v: the votes, sorted; an anchor votes for a place once at most."""
+    m = next((i for i in range(1, n + 1) if i / n >= least), n + 1)
+
+    def run(x: Column, i: Column) -> Column:
+        first = ((i == 0) | (F.get(v, i - 1) != x)) & F.coalesce(F.get(v, i + m - 1) == x, F.lit(False))
+        votes = reduce(lambda a, b: a + b, [F.when(F.get(v, i + k) == x, 1).otherwise(0) for k in range(n)])
+        return F.when(first, F.struct(x.alias("at"), votes.alias("n")))
+
+    return F.array_compact(F.transform(v, run))
+
+
+def _proved(found: str, n: int, keys: tuple[str, ...], slack: int = 3) -> Column:
+    """The most votes of a beginning that has each key phrase begin between slack words before it and slack words after the n words of the template."""
+
+    def near(at: Column, phrase: str) -> Column:
+        # words hold no space, so a phrase between spaces is whole words
+        start = F.greatest(at - slack, F.lit(0))
+        piece = F.slice("__w", start + 1, at + n + slack + len(phrase.split()) - start)
+        return F.contains(F.concat(F.lit(" "), F.array_join(piece, " "), F.lit(" ")), F.lit(f" {phrase} "))
+
+    holds = F.filter(found, lambda c: reduce(lambda a, b: a & b, [near(c["at"], k) for k in keys]))
+    return F.array_max(F.transform(holds, lambda c: c["n"]))
 
 
 def scan(docs: DataFrame, anchors: int = 8, least: float = 0.5) -> DataFrame:
@@ -120,18 +142,10 @@ def scan(docs: DataFrame, anchors: int = 8, least: float = 0.5) -> DataFrame:
         mine = F.filter("__hits", lambda x: x["w"].isin([w for w, _ in posts]))
         # where the template would begin, by each of its anchors found; equal words at one place count once
         d = d.withColumn(f"__v{t}", F.sort_array(F.transform(mine, lambda x: x["i"] - place[x["w"]])))
+    for t, posts in enumerate(index):
+        d = d.withColumn(f"__c{t}", _beginnings(f"__v{t}", len(posts), least))
     for t, (_, text, keys) in enumerate(TEMPLATES):
-        zero = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("best_at"), F.lit(0).alias("best"))
-
-        def vote(a: Column, x: Column) -> Column:
-            n = F.when(a["at"] == x, a["n"] + 1).otherwise(F.lit(1))
-            more = n > a["best"]
-            return F.struct(x.alias("at"), n.alias("n"), F.when(more, x).otherwise(a["best_at"]).alias("best_at"), F.when(more, n).otherwise(a["best"]).alias("best"))
-
-        d = d.withColumn(f"__v{t}", F.aggregate(f"__v{t}", zero, vote))
-        at, share = F.col(f"__v{t}")["best_at"], F.col(f"__v{t}")["best"] / F.lit(float(len(index[t])))
-        proved = reduce(lambda a, b: a & b, [F.exists(_places(F.col("__w"), k), _within(at, len(text.split()))) for k in keys])
-        d = d.withColumn(f"__v{t}", F.when(share >= least, F.when(proved, share)))
+        d = d.withColumn(f"__v{t}", _proved(f"__c{t}", len(text.split()), keys) / F.lit(float(len(index[t]))))
     places = F.sort_array(F.flatten(F.array(*[F.coalesce(f"__b{i}", F.array().cast("array<int>")) for i in range(len(BASE))])))
     base = F.array_compact(F.array(*[F.when(F.size(f"__b{i}") > 0, F.lit(x)) for i, x in enumerate(BASE.values())]))
     found = F.array_compact(F.array(*[F.when(F.col(f"__v{t}").isNotNull(), F.lit(x)) for t, (x, _, _) in enumerate(TEMPLATES)]))
