@@ -268,6 +268,26 @@ def test_toxicity_accuracy(spark):
     assert hit >= 0.6 * sum(r["toxic"] for r in got) and hit >= 0.9 * sum(r["predicted"] for r in got)
 
 
+def test_rows_that_share_an_id_are_judged_alone(spark, labels):
+    """Null or repeated ids of different texts: each row has its own verdict and its own number of copies."""
+    good, leak = prose(21, 60), prose(22, 60)
+    texts = [good, leak, "few words", prose(23, 50), prose(24, 50)]
+    df = spark.createDataFrame([(i, t, "en", "s0", 0) for i in (None, 7) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    found = lambda d: sorted((r["doc_id"] or 0, r["text"]) for r in d.collect())
+    assert found(quality.kept_documents(df, labels)) == sorted((i, t) for i in (0, 7) for t in texts if t != "few words")
+    assert found(decontam.clean_documents(df, items)) == sorted((i, t) for i in (0, 7) for t in texts if t != leak)
+    many = [(None if i % 2 else 5, prose(30 + i, 20 + i), f"s{i % 3}") for i in range(40)] + [(None, prose(90, 30), "s0")] * 7
+    df = spark.createDataFrame(many, "doc_id long, text string, source string")
+    key = lambda r: (r["doc_id"], r["source"], r["size"])
+    sizes = {t: len(t.split()) for _, t, _ in many}
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[key(r)] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], sizes[r["text"]]) for r in mixing.mixed_documents(df).collect())
+    assert got == +want and len(set(want.values())) > 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     d = docs

@@ -83,6 +83,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1))).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
 
 
+def row_key(*cols: str) -> Column:
+    """doc_id, null or of any type, and a hash of cols as one text: rows alike in these are one, rows that share only a doc_id are not."""
+    h = F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])
+    return F.concat(h.cast("string"), F.coalesce(F.concat(F.lit("|"), F.col("doc_id").cast("string")), F.lit("")))
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; it looks at one more at most."""
     return df.limit(rows + 1).count() <= rows

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -165,9 +165,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2
 
     items: item_id, text. near_items also has items whose window's words stand within slop places of theirs.
     """
-    spark = docs.sparkSession
+    found = _leaks(docs, items, width, slop, block_bytes)
+    return found.withColumn("doc_id", F.when(F.decode("__row", "UTF-8").startswith("v"), F.expr("substring(decode(__row, 'UTF-8'), instr(decode(__row, 'UTF-8'), '|') + 1)")).cast(docs.schema["doc_id"].dataType)).drop("__row")
+
+
+def _row() -> Column:
     # the row's id travels as text of its own type, so that null ids and ids of any type come back as they were
-    rows = docs.select(F.encode(F.concat(F.when(F.col("doc_id").isNull(), "n").otherwise("v"), F.xxhash64("text").cast("string"), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8").alias("__row"), "text")
+    return F.encode(F.concat(F.when(F.col("doc_id").isNull(), "n").otherwise("v"), F.xxhash64("text").cast("string"), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As find_leaks, with __row in place of doc_id."""
+    rows = docs.select(_row().alias("__row"), "text")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
@@ -184,8 +193,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2
         names = [name for name, _ in block]
         part = index.mapInPandas(_answers([windows[i] for i in live], [orders[i] for i in live], [owners[i] for i in live], names, gap, slop, n > 1), ANSWER)
         found = part if found is None else found.unionByName(materialize(part, "answers"))
-    found = found.drop("hits") if n == 1 else _merged(found, rows)
-    return found.withColumn("doc_id", F.when(F.decode("__row", "UTF-8").startswith("v"), F.expr("substring(decode(__row, 'UTF-8'), instr(decode(__row, 'UTF-8'), '|') + 1)")).cast(docs.schema["doc_id"].dataType)).drop("__row")
+    return found.drop("hits") if n == 1 else _merged(found, rows)
 
 
 def _merged(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -224,6 +232,6 @@ FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN its ON dw.doc_id =
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs without an exact match. Rows that share a doc_id stay only if all of them are clean."""
-    bad = find_leaks(docs, items, **{"slop": 0, **options}).where("n_hit > 0").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    """The rows of docs without an exact match, each by its own text, whatever rows share its doc_id."""
+    bad = _leaks(docs, items, **{"slop": 0, **options}).where("n_hit > 0").select("__row").distinct()
+    return docs.withColumn("__row", _row()).join(bad, "__row", "left_anti").drop("__row")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_count
+from .common import materialize, row_key, table, word_count
 
 #: Fixed-point unit of a copy.
 UNIT = 1 << 30
@@ -68,17 +68,17 @@ def ranked(rows: DataFrame, key: str, order: list) -> DataFrame:
     return joined.withColumn("__n", F.col("__base") + F.col("__r")).drop("__p", "__bp", "__bk", "__base", "__r")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of docs."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and the columns to keep for each row of docs; documents that tie are ordered by the latter."""
     # a digest of the id orders documents of one source and size at random, and rows that still tie are alike
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, seed)
     targets = materialize(targets.withColumnRenamed("source", "__s"), "targets")
-    placed = ranked(sized, "source", [F.col("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))])
+    placed = ranked(sized, "source", [F.col("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), *map(F.col, keep)])
     # one row a source: Spark broadcasts it while it is small and shuffles, splitting hot sources, beyond that
     out = placed.join(targets, F.col("source").eqNullSafe(F.col("__s")))
     at = (F.col("__u") + (F.col("__n") % UNIT) * (F.col("__rate") % UNIT)) % UNIT
-    return out.select("doc_id", "source", "size", "source_size", "target", F.floor((at + F.col("__rate")) / F.lit(UNIT)).cast("bigint").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.floor((at + F.col("__rate")) / F.lit(UNIT)).cast("bigint").alias("copies"), *keep)
 
 
 def op3_systematic_mix(spark, sf_dir: str) -> DataFrame:
@@ -88,9 +88,17 @@ def op3_systematic_mix(spark, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (at most `most` times), with its copy's number from 1."""
-    keys = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__d")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__d")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__d", "__copies")
+    keyed = docs.withColumn("__k", row_key("source", "text"))
+    keys = mix(keyed, keep=("__k",), **options).groupBy("__k").agg(F.count(F.lit(1)).alias("__rows"), F.min("copies").alias("__copies"), F.max("copies").alias("__most"), F.sum("copies").alias("__sum"))
+    keys = materialize(keys.where("__most > 0"), "copies")
+    joined = keyed.join(keys.where("__copies = __most"), "__k")
+    uneven = keys.where("__copies < __most")
+    if not uneven.isEmpty():
+        # rows of one key have a number of copies or the next; so many of them as have the next take it
+        placed = ranked(keyed.join(uneven, "__k").withColumn("__x", F.rand(7)), "__k", ["__x"])
+        more = (F.col("__n") < F.col("__sum") - F.col("__rows") * F.col("__copies")).cast("bigint")
+        joined = joined.unionByName(placed.withColumn("__copies", F.col("__copies") + more).where("__copies > 0").select(joined.columns))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns, "copy")
 
 
 ORACLE = r"""

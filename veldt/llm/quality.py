@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize, small_enough, table
+from .common import SPACE, WORD, materialize, row_key, small_enough, table
 
 #: Scores (higher is worse) and their cutoffs, from lenient to strict.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -113,12 +113,17 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float, alpha
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, alpha: float = 0.05) -> DataFrame:
     """doc_id, stratum, the measures, base_failed, the rules that reject it, kept; a row for each row of docs."""
-    m = materialize(measures(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")), "measures")
+    return _judged(docs, labels, stratum, risk, alpha).drop("__k")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, alpha: float = 0.05, key: Column | None = None) -> DataFrame:
+    """As judge, with key of each row as __k."""
+    m = materialize(measures(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text", *[] if key is None else [key.alias("__k")])), "measures")
     cut = certified_cutoffs(m, labels, risk, alpha).groupBy(F.col("stratum").alias("__s")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__c"))
     cut = materialize(cut, "cutoffs")
     joined = m.join(F.broadcast(cut) if small_enough(cut, BROADCAST_STRATA) else cut, F.col("stratum").eqNullSafe(F.col("__s")), "left")
     hit = F.filter(F.array(*[F.when(~base_failed() & (score(r) > F.col("__c")[r]), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
-    return joined.select("doc_id", "stratum", *[c for c in m.columns if c.startswith(("n_", "word_"))], base_failed().alias("base_failed"), hit.alias("rejected_by")).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    return joined.select("doc_id", "stratum", *[c for c in m.columns if c.startswith(("n_", "word_", "__k"))], base_failed().alias("base_failed"), hit.alias("rejected_by")).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
 def op2_risk_controlled_rules(spark, sf_dir: str) -> DataFrame:
@@ -126,10 +131,11 @@ def op2_risk_controlled_rules(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is kept. Rows that share a doc_id stay only if all of them pass."""
-    bad = judge(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
+    """The rows of docs that are kept, each by its own verdict, whatever rows share its doc_id."""
+    key = row_key(stratum, "text")
+    bad = _judged(docs, labels, stratum, key=key, **options).where(~F.col("kept")).select("__k").distinct()
+    return docs.withColumn("__k", key).join(bad, "__k", "left_anti").drop("__k")
 
 
 def _oracle(risk: float = 0.01, alpha: float = 0.05) -> str:
