@@ -247,6 +247,29 @@ def test_leaks_in_blocks_equal_one(docs, items):
     assert hit[7]["items"] == ["2", "5"] and hit[3]["items"] == ["1"] and hit[4]["n_hit"] == 0
 
 
+@pytest.mark.parametrize("block_bytes", [100, decontam.BLOCK_BYTES])
+def test_items_without_an_id_count(spark, block_bytes):
+    a, b, c = prose(41, 12), prose(42, 12), prose(43, 12)
+    rows = [(1, f"{a} {prose(44, 20)}"), (2, f"{a} x {b} y {c}"), (3, prose(45, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, b), (6, c)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], set(r["items"])) for r in decontam.find_leaks(df, items, block_bytes=block_bytes).collect()}
+    assert got == {1: (12, {None}), 2: (36, {"6", None}), 3: (0, set())}
+    assert [r["doc_id"] for r in decontam.clean_documents(df, items, block_bytes=block_bytes).collect()] == [3]
+
+
+def test_op10_oracle_with_items_without_an_id(spark, tmp_path):
+    rows = [(1, f"{prose(41, 12)} {prose(44, 20)}"), (2, f"{prose(41, 12)} x {prose(42, 12)} y {prose(43, 12)}"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, prose(41, 12)), (None, prose(42, 12)), (6, prose(43, 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = decontam.op10_positional_index(spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL['op10_positional_index']}) x").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_proximity(spark, items):
     words = prose(2, 150)[60:300].split()[1:13]
     text = " ".join(words[:5] + ["inserted"] + words[5:])

@@ -15,7 +15,9 @@ with A-Z lower-cased. A window is `width` consecutive item words; an item of
 fewer words, but not none, is one window.
 
 Cases: a null or empty text has no words, is not contaminated, and as an item
-gives no window; equal items match alike and all are named; a window that
+gives no window; equal items match alike and all are named; items of null
+item_id count like others and are named null, at the end and once in a count of
+the distinct names, but not in their digest; a window that
 occurs twice in a document counts its words once; rows are judged one by one,
 so repeated rows are judged alike; empty tables give empty results or no hits;
 other columns are not looked at.
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,7 +55,7 @@ def item_words(text: str | None) -> list[bytes]:
     return WORDS.findall(text.encode().lower()) if text else []
 
 
-def windows_of(items: list[tuple[str, str | None]], width: int) -> tuple[dict[bytes, int], list[tuple[int, ...]], list[list[int]]]:
+def windows_of(items: list[tuple[str | None, str | None]], width: int) -> tuple[dict[bytes, int], list[tuple[int, ...]], list[list[int]]]:
     """Vocabulary, the distinct windows as term numbers, and for each the numbers of the items that have it."""
     vocab: dict[bytes, int] = {}
     found: dict[tuple[int, ...], list[int]] = {}
@@ -122,7 +124,11 @@ def _segments(vocab: dict[bytes, int], gap: int):
     return index
 
 
-def _answers(windows: list, orders: list, owners: list, names: list[str], gap: int, slop: int, many: bool):
+def _sorted(names: Iterable[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+def _answers(windows: list, orders: list, owners: list, names: list[str | None], gap: int, slop: int, many: bool):
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows, starts, terms, ends, places in pdf.itertuples(index=False):
@@ -154,7 +160,7 @@ def _answers(windows: list, orders: list, owners: list, names: list[str], gap: i
                 yield pd.DataFrame({
                     "__row": list(rows), "n_words": lengths, "n_hit": covered[starts[1:]] - covered[starts[:-1]],
                     "hits": [np.packbits(np.cumsum(hit[a : b - gap]) > 0).tobytes() if many else b"" for a, b in zip(starts[:-1], starts[1:], strict=True)],
-                    "items": [sorted(names[o] for o in x) for x in items], "near_items": [sorted(names[o] for o in x) for x in near],
+                    "items": [_sorted(names[o] for o in x) for x in items], "near_items": [_sorted(names[o] for o in x) for x in near],
                 })
 
     return answer
@@ -177,7 +183,7 @@ def _row() -> Column:
 def _leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """As find_leaks, with __row in place of doc_id."""
     rows = docs.select(_row().alias("__row"), "text")
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
     found = None
