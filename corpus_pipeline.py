@@ -41,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix_sources)]
 
 #: The quality cutoffs and the near-duplicate components depend on one another's
-#: rows; the whole is tested against a brute-force version instead.
+#: rows. test_pipeline tests the stages one by one, by the operators themselves;
+#: no brute-force version of the whole exists.
 ORACLE_SQL = None
 
 
