@@ -171,12 +171,18 @@ def brute_repeats(texts, n):
         yield sum(m), sum(1 for j, y in enumerate(m) if y and (j == 0 or not m[j - 1])), hashlib.sha256(kept).hexdigest()
 
 
-def test_repeats_by_brute_force(spark, docs):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 3])
+def test_repeats_by_brute_force(spark, docs, hot):
     r = random.Random(9)
     parts = ["".join(r.choice("abc") for _ in range(70)) for _ in range(6)]
     texts = ["".join(r.choice(parts)[r.randrange(30) :] if r.random() < 0.8 else r.choice("xyzé") * r.randrange(1, 60) for _ in range(8)) for _ in range(40)] + ["ab" * 90, None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(suffixes.remove_repeats(df, length=40, width=28).collect())
+    rows = list(enumerate(texts))
+    # rows of equal id and text repeat one another too
+    alone = "".join(r.choice("qrst") for _ in range(90))
+    rows += [(500, alone), (500, alone), (None, alone[::-1])]
+    texts = [t for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(suffixes.remove_repeats(df, length=40, width=28, hot=hot).collect(), key=lambda x: (x["doc_id"] is None, x["doc_id"]))
     for x, want in zip(got, brute_repeats([(t or "").encode() for t in texts], 40), strict=True):
         assert (x["n_removed"], x["n_spans"], x["kept_sha256"]) == want
 

@@ -8,18 +8,22 @@ anchor alike, only suffixes that begin at anchors are compared, about one in
 width / 2 positions. For each anchor the strings that chose it are known; they
 span its context, from `dhi` bytes before it to length - `dlo` bytes after it.
 
-Anchors whose whole context occurs twice are settled by counting hashes, which
-combines before it shuffles; however often a passage repeats, one of its
-anchors goes on. Anchors whose first bytes occur nowhere else are settled too.
-What is left, one anchor for each different context near the ends of
-repeats, is sorted as suffixes: each task sorts its own, front-codes the runs
-(a common prefix's length and the rest) and sends them to the task of their
+Anchors whose first bytes occur nowhere else are dropped by counting a hash of
+these bytes; that is all that hashing settles. The others are sorted as
+suffixes: each task sorts its own, keeps one of those whose contexts it holds
+twice or more (these are covered whatever other tasks hold), front-codes the
+runs (a common prefix's length and the rest) and sends them to the task of their
 first bytes, which merges them with a loser tree. The tree's players know how
 long a prefix they share with the last winner; the longer one wins without a
 look at the bytes, and equal ones are compared beyond that prefix only. Of the
 sorted suffixes, with their common prefixes, each string's equals agree on the
 bytes after the anchor, hence lie in one stretch, and on the bytes before it.
 
+However often a passage repeats, a task sends one suffix for each different
+context. First bytes that more than `hot` anchors share, with ever different
+contexts, would still meet in one merging task; each of their strings is counted
+by its hash instead, which combines before it shuffles and has no hot task.
+
 Cases: null counts as empty; texts shorter than length lose nothing; repeated
 rows are documents of their own, so their strings do occur elsewhere; an empty
 table gives an empty result; other columns are not looked at, and names that
@@ -41,8 +45,10 @@ from .common import keyed, materialize, table
 from .minhash import _BYTE, _grown, _mixed
 
 _EIGHT = 8
-#: Different contexts that one merging task may get on average.
+#: Suffixes that one merging task may get on average.
 MERGE_ROWS = 40_000
+#: Anchors that may share their first bytes in one merging task.
+HOT = 200_000
 
 
 def _sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +59,11 @@ def _sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(b: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
-    """p, dlo, dhi of each anchor, the hash of the length - width + 1 bytes from it, and of its context."""
+    """p, dlo, dhi of each anchor, and the hash of the length - width + 1 bytes from it."""
     n = len(b)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z.astype(np.uint64)
     sums, q = _sums(b)
     m = n - length + width  # positions that a string can choose
     key = (_mixed((sums[_EIGHT : m + _EIGHT] - sums[:m]) * q[:m]) & ~np.uint64(0xFFFFFFFF)) | np.arange(m, dtype=np.uint64)
@@ -73,12 +79,10 @@ def anchors(b: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
     last = np.r_[first[1:], k] - 1
     part = length - width + 1
     near = _mixed((sums[p + part] - sums[p]) * q[p])
-    end = last + length
-    whole = _mixed((sums[end] - sums[first]) * q[first]) ^ (((p - first) * 1024 + (last - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return p, p - last, p - first, near, whole
+    return p, p - last, p - first, near
 
 
-ANCHORS = "__id long, __h long, __near array<long>, __whole array<long>, __p array<int>, __lo array<int>, __hi array<int>"
+ANCHORS = "__id long, __h long, __near array<long>, __p array<int>, __lo array<int>, __hi array<int>"
 
 
 def _anchored(length: int, width: int):
@@ -86,10 +90,10 @@ def _anchored(length: int, width: int):
         for pdf in batches:
             out = []
             for i, h, t in zip(pdf["__id"], pdf["__h"], pdf["text"], strict=True):
-                p, lo, hi, near, whole = anchors(np.frombuffer(t.encode(), np.uint8), length, width)
+                p, lo, hi, near = anchors(np.frombuffer(t.encode(), np.uint8), length, width)
                 if len(p):
-                    out.append((i, h, near.view(np.int64), whole.view(np.int64), p.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["__id", "__h", "__near", "__whole", "__p", "__lo", "__hi"])
+                    out.append((i, h, near.view(np.int64), p.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["__id", "__h", "__near", "__p", "__lo", "__hi"])
 
     return run
 
@@ -183,22 +187,32 @@ RUNS = "__part int, n int, lcp binary, rest binary, size binary, before binary,
 
 
 def _runs(length: int, parts: int, most: int = 50_000):
-    """Contexts of the anchors asked for, as sorted front-coded runs for each part."""
+    """Contexts of the anchors asked for, as sorted front-coded runs for each part; ranges known to be covered have part -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, bytes, bytes, tuple]] = []
 
         def flush() -> pd.DataFrame:
-            held.sort(key=lambda x: (x[0], x[1]))
-            out, a = [], 0
+            held.sort(key=lambda x: x[:3])
+            out, covered, a = [], [], 0
             while a < len(held):
-                e = a
-                while e < len(held) and held[e][0] == held[a][0]:
-                    e += 1
-                lcp, rest, size = front_coded([x[1] for x in held[a:e]])
-                meta = np.array([x[3] for x in held[a:e]], np.int64)
-                out.append((held[a][0], e - a, lcp.tobytes(), rest, size.tobytes(), b"".join(x[2] for x in held[a:e]), meta.tobytes()))
+                part, keep, e = held[a][0], [], a
+                while e < len(held) and held[e][0] == part:
+                    c = e + 1
+                    while c < len(held) and held[c][:3] == held[e][:3]:
+                        c += 1
+                    i, h, p, lo, hi, times = held[e][3]
+                    done = c - e > 1 or times > 1
+                    if done:
+                        covered += [(m[0], m[1], m[2] - m[4], m[2] - m[3] + length) for m in (x[3] for x in held[e:c])]
+                    keep.append((held[e][1], held[e][2], (i, h, p, lo, hi, int(done))))
+                    e = c
+                lcp, rest, size = front_coded([x[0] for x in keep])
+                meta = np.array([x[2] for x in keep], np.int64)
+                out.append((part, len(keep), lcp.tobytes(), rest, size.tobytes(), b"".join(x[1] for x in keep), meta.tobytes()))
                 a = e
+            if covered:
+                out.append((-1, len(covered), b"", b"", b"", b"", np.array(covered, np.int64).tobytes()))
             held.clear()
             return pd.DataFrame(out, columns=["__part", "n", "lcp", "rest", "size", "before", "meta"])
 
@@ -206,16 +220,37 @@ def _runs(length: int, parts: int, most: int = 50_000):
             for i, h, t, want in zip(pdf["__id"], pdf["__h"], pdf["text"], pdf["__want"], strict=True):
                 b = t.encode()
                 for w in want:
-                    p, lo, hi = w["p"], w["lo"], w["hi"]
-                    held.append((w["near"] % parts, b[p : p + length - lo], b[p - hi : p], (i, h, p, lo, hi, w["done"])))
-            if len(held) >= most:
-                yield flush()
+                    p, lo, hi = w["__p"], w["__lo"], w["__hi"]
+                    held.append((w["__near"] % parts, b[p : p + length - lo], b[p - hi : p], (i, h, p, lo, hi, w["times"])))
+                    if len(held) >= most:
+                        yield flush()
         if held:
             yield flush()
 
     return run
 
 
+def _known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ranges of the rows of part -1."""
+    for pdf in batches:
+        if len(pdf):
+            yield pd.DataFrame(np.frombuffer(b"".join(pdf["meta"]), np.int64).reshape(-1, 4), columns=["__id", "__h", "__from", "__to"]).astype({"__from": np.int32, "__to": np.int32})
+
+
+def _starts(length: int):
+    """A hash of each string that chose one of the anchors asked for, and where it begins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, h, t, want in zip(pdf["__id"], pdf["__h"], pdf["text"], pdf["__want"], strict=True):
+                sums, q = _sums(np.frombuffer(t.encode(), np.uint8))
+                for a in range(0, len(want), 1000):
+                    at = np.concatenate([np.repeat(np.arange(w["__p"] - w["__hi"], w["__p"] - w["__lo"] + 1), w["times"]) for w in want[a : a + 1000]])
+                    yield pd.DataFrame({"__s": _mixed((sums[at + length] - sums[at]) * q[at]).view(np.int64), "__id": i, "__h": h, "__from": at.astype(np.int32)})
+
+    return run
+
+
 COVER = "__id long, __h long, __from int, __to int"
 
 
@@ -263,31 +298,30 @@ def _merged(length: int, width: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = 400, width: int = 280) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, width: int = 280, hot: int = HOT) -> DataFrame:
     """__id, __h, __from, __to: byte ranges of the keyed docs that repeated strings cover; ranges may overlap."""
     spark = docs.sparkSession
     texts = docs.select("__id", "__h", "text").where(F.octet_length("text") >= length)
     found = materialize(texts.mapInPandas(_anchored(length, width), ANCHORS), "anchors")
-    a = found.select("__id", "__h", F.inline(F.arrays_zip("__near", "__whole", "__p", "__lo", "__hi")))
-    # first bytes that occur again, and whether all their contexts are one
-    again = a.groupBy("__near").agg(F.count(F.lit(1)).alias("__n"), F.min("__whole").alias("__w1"), F.max("__whole").alias("__w2")).where("__n > 1")
-    again = materialize(again.select("__near", (F.col("__w1") != F.col("__w2")).alias("__several")), "again")
-    live = materialize(a.join(again, "__near"), "live")
-    one = F.min(F.struct("__id", "__h", "__p", "__lo", "__hi", "__near"))
-    contexts = materialize(live.groupBy("__whole").agg(F.count(F.lit(1)).alias("__n"), F.max("__several").alias("__several"), one.alias("one")), "contexts")
-    settled = live.where("not __several").select("__id", "__h", "__p", "__lo", "__hi")
-    twice = contexts.where("__several and __n > 1").select("__whole")
-    settled = settled.union(live.where("__several").join(twice, "__whole").select("__id", "__h", "__p", "__lo", "__hi"))
-    cover = settled.select("__id", "__h", (F.col("__p") - F.col("__hi")).alias("__from"), (F.col("__p") - F.col("__lo") + length).alias("__to"))
-    want = contexts.where("__several")
-    n = want.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MERGE_ROWS))
-    asked = F.struct(F.col("one.__p").alias("p"), F.col("one.__lo").alias("lo"), F.col("one.__hi").alias("hi"), F.col("one.__near").alias("near"), F.when(F.col("__n") > 1, 1).otherwise(0).alias("done"))
-    want = want.groupBy(F.col("one.__id").alias("__id"), F.col("one.__h").alias("__h")).agg(F.collect_list(asked).alias("__want"))
-    # rows of equal id and text are one text here
-    with_text = texts.join(want, ["__id", "__h"]).dropDuplicates(["__id", "__h"])
-    runs = with_text.mapInPandas(_runs(length, parts), RUNS)
-    return cover.union(runs.groupBy("__part").applyInPandas(_merged(length, width), COVER))
+    a = found.select("__id", "__h", F.inline(F.arrays_zip("__near", "__p", "__lo", "__hi")))
+    # a row for first bytes that occur again, written out, so that the join deals both sides and Spark can split a hot one
+    again = materialize(a.groupBy("__near").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__near", (F.col("__n") > hot).alias("__hot")), "again")
+    # rows of equal id and text are one text with anchors that occur several times
+    one = ["__near", "__p", "__lo", "__hi", "__hot"]
+    live = a.join(again, "__near").groupBy("__id", "__h", *one).agg(F.count(F.lit(1)).alias("times"))
+    want = materialize(live.groupBy("__id", "__h").agg(F.collect_list(F.struct(*one, "times")).alias("__want"), F.count(F.lit(1)).alias("__n"), F.max("__hot").alias("__hot")), "want")
+    n, any_hot = want.agg(F.sum("__n"), F.max("__hot")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) // MERGE_ROWS))
+    asked = lambda x: F.filter("__want", lambda w: w["__hot"] == F.lit(x)).alias("__want")
+    with_text = texts.join(want.select("__id", "__h", "__want"), ["__id", "__h"]).dropDuplicates(["__id", "__h"])
+    runs = materialize(with_text.select("__id", "__h", "text", asked(False)).mapInPandas(_runs(length, parts), RUNS), "runs")
+    merged = runs.where("__part >= 0").groupBy("__part").applyInPandas(_merged(length, width), COVER)
+    cover = runs.where("__part < 0").mapInPandas(_known, COVER).union(merged)
+    if any_hot:
+        each = materialize(with_text.where(F.exists("__want", lambda w: w["__hot"])).select("__id", "__h", "text", asked(True)).mapInPandas(_starts(length), "__s long, __id long, __h long, __from int"), "starts")
+        often = materialize(each.groupBy("__s").count().where("count > 1").select("__s"), "often")
+        cover = cover.union(each.join(often, "__s").select("__id", "__h", "__from", F.col("__from") + length))
+    return cover
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,10 +344,10 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.join(pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"], index=pdf.index))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, width: int = 280) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, width: int = 280, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (byte ranges removed) for each row of docs."""
     k = keyed(docs.select("doc_id", "text"))
-    cover = repeats(k, length, width).groupBy(F.col("__id").alias("__i"), F.col("__h").alias("__k")).agg(F.collect_set(F.struct("__from", "__to")).alias("__cover"))
+    cover = repeats(k, length, width, hot).groupBy(F.col("__id").alias("__i"), F.col("__h").alias("__k")).agg(F.collect_set(F.struct("__from", "__to")).alias("__cover"))
     joined = k.join(cover, (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__k")), "left").select("doc_id", "text", "__cover")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInPandas(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
