@@ -247,21 +247,21 @@ def test_components(spark):
 
 def test_leaks_in_blocks_equal_one(docs, items):
     one = sorted(map(str, decontam.find_leaks(docs, items).select("doc_id", "n_words", "n_hit", "items").collect()))
-    many = sorted(map(str, decontam.find_leaks(docs, items, block_bytes=100).select("doc_id", "n_words", "n_hit", "items").collect()))
+    many = sorted(map(str, decontam.find_leaks(docs, items, block_windows=3).select("doc_id", "n_words", "n_hit", "items").collect()))
     assert one == many
     hit = {r["doc_id"]: r for r in decontam.find_leaks(docs, items).collect()}
     assert hit[7]["items"] == ["2", "5"] and hit[3]["items"] == ["1"] and hit[4]["n_hit"] == 0
 
 
-@pytest.mark.parametrize("block_bytes", [100, decontam.BLOCK_BYTES])
-def test_items_without_an_id_count(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [1, decontam.BLOCK_WINDOWS])
+def test_items_without_an_id_count(spark, block_windows):
     a, b, c = prose(41, 12), prose(42, 12), prose(43, 12)
     rows = [(1, f"{a} {prose(44, 20)}"), (2, f"{a} x {b} y {c}"), (3, prose(45, 30))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(None, a), (None, b), (6, c)], "item_id long, text string")
-    got = {r["doc_id"]: (r["n_hit"], set(r["items"])) for r in decontam.find_leaks(df, items, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: (r["n_hit"], set(r["items"])) for r in decontam.find_leaks(df, items, block_windows=block_windows).collect()}
     assert got == {1: (12, {None}), 2: (36, {"6", None}), 3: (0, set())}
-    assert [r["doc_id"] for r in decontam.clean_documents(df, items, block_bytes=block_bytes).collect()] == [3]
+    assert [r["doc_id"] for r in decontam.clean_documents(df, items, block_windows=block_windows).collect()] == [3]
 
 
 def test_op10_oracle_with_items_without_an_id(spark, tmp_path):
@@ -284,6 +284,55 @@ def test_proximity(spark, items):
     assert r["items"] == [] and r["near_items"] == ["1"]
 
 
+def test_leaks_by_brute_force(spark):
+    """Exact and proximity matches, several blocks, and many windows that stand nowhere."""
+    r = random.Random(6)
+    word = lambda: r.choice("a b c d e f g h".split())
+    items = {str(i): [word() for _ in range(r.randrange(0, 9))] for i in range(12)}
+    texts = {i: [word() for _ in range(r.randrange(0, 60))] for i in range(25)}
+    texts[3] = texts[3] + items["7"] + ["a"] + items["8"]
+    width, slop = 5, 1
+    want = {}
+    for d, t in texts.items():
+        hit, exact, near = set(), set(), set()
+        for i, w in items.items():
+            k = min(width, len(w))
+            for a in range(len(w) - k + 1 if k else 0):
+                win = w[a : a + k]
+                at = [s for s in range(len(t) - k + 1) if t[s : s + k] == win]
+                hit |= {s + j for s in at for j in range(k)}
+                exact |= {i} if at else set()
+                # the rarest term anchors; the others stand within slop of their places
+                freq = Counter(x for u in texts.values() for x in u)
+                o = min(range(k), key=lambda j: (freq[win[j]], j))
+                for s in (p - o for p in range(len(t)) if t[p] == win[o]):
+                    if all(any(0 <= s + j + e < len(t) and t[s + j + e] == win[j] for e in range(-slop, slop + 1)) for j in range(k) if j != o):
+                        near |= {i}
+        want[d] = (len(t), len(hit), sorted(exact), sorted(near))
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    absent = [(f"z{i}", " ".join(f"q{i}x{j}" for j in range(40))) for i in range(200)]
+    its = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + absent, "item_id string, text string")
+    for block in (decontam.BLOCK_WINDOWS, 3000):
+        got = {x["doc_id"]: (x["n_words"], x["n_hit"], sorted(set(x["items"])), sorted(set(x["near_items"]))) for x in decontam.find_leaks(df, its, width=width, slop=slop, block_windows=block).collect()}
+        assert got == want
+
+
+def test_absent_windows_cost_a_segment_nothing():
+    import time
+
+    def took(n):
+        w = decontam.Windows([(None, " ".join(f"q{i}" for i in range(n)))], 10)
+        words = decontam.terms_of(prose(5, 3000))
+        seg = decontam.Segment(*(lambda t, c: (t, np.cumsum(c), np.concatenate([np.flatnonzero(words == x) for x in t])))(*np.unique(words, return_counts=True)), len(words))
+        w.by_rarity(np.sort(w.vocabulary), np.ones(len(w.vocabulary), np.int64))
+        t = time.perf_counter()
+        assert list(seg.matches(w, 2)) == []
+        return time.perf_counter() - t
+
+    took(100)
+    assert took(100_000) < 0.05
+
+
 def test_language_accuracy(spark):
     got = QUERIES["op8_rank_order_profiles"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.9 * len(got)

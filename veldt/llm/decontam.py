@@ -1,120 +1,124 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The corpus is indexed in segments of whole documents: for each term of the
-test items, the ascending places at which it stands in the segment. The index
-is written to the shared folder, so the corpus is tokenized once. Its counts
-tell which terms are rare. Each segment then answers all test windows: the
-list of a window's rarest term, moved back by the term's place in the window,
-gives candidate beginnings, and the lists of the other terms, rarest first and
-moved likewise, are intersected with it; what is left are exact phrase
-matches. Proximity matches let each term stand up to `slop` places away from
-where the phrase would have it.
+The corpus is indexed in segments of whole documents: for each term (a 64-bit
+hash of a word), the ascending places at which it stands in the segment. The
+index is written to the shared folder once, whatever the number of test items:
+test windows are taken in blocks of a stated number, all blocks read the same
+index, and only if there is a single block are words that no item has left out
+of it. Counts over the index tell which terms are rare. In each segment, the
+windows whose rarest term stands there are looked up, and no others: the
+rarest term's list, moved back by its place in the window, gives candidate
+beginnings, and the lists of the other terms, rarest first and moved likewise,
+are intersected with them, for all windows at once. What is left are proximity
+matches, where each term stands up to `slop` places away from where the phrase
+would have it, and among them the exact phrase matches.
 
 Words are runs of characters other than ASCII punctuation, space and controls,
 with A-Z lower-cased. A window is `width` consecutive item words; an item of
 fewer words, but not none, is one window.
 
 Cases: a null or empty text has no words, is not contaminated, and as an item
-gives no window; equal items match alike and all are named; items of null
-item_id count like others and are named null, at the end and once in a count of
-the distinct names, but not in their digest; a window that
-occurs twice in a document counts its words once; rows are judged one by one,
-so repeated rows are judged alike; empty tables give empty results or no hits;
-other columns are not looked at.
-
-The items are held by every task, so they are taken in blocks of a stated
-size; each block's hits are found against the whole corpus, and hits of several
-blocks are merged by row.
+gives no window; equal items match alike and all are named, repeated rows of
+items once; items of null item_id count like others and are named null, at the
+end and once in a count of the distinct names, but not in their digest; a
+window that occurs twice in a document counts its words once; rows are judged
+one by one, so repeated rows are judged alike; empty tables give empty results
+or no hits; other columns are not looked at. A text of any length is one
+document of one segment.
+
+A block's windows are held by every task: `block_windows` times 160 bytes. Hits
+of several blocks are merged by row.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import PUNCT_ANYCASE, materialize, table
+from .minhash import word_hashes
 
-WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Bytes of item text that one block of test items may have.
-BLOCK_BYTES = 32 << 20
+#: Windows of test items that one block may have.
+BLOCK_WINDOWS = 200_000
 #: Words of documents that one index segment holds; a longer document is a segment of its own.
 SEGMENT_WORDS = 400_000
+#: Candidates that a segment looks at in one go.
+CANDIDATES = 300_000
 
 ANSWER = "__row binary, n_words long, n_hit long, hits binary, items array<string>, near_items array<string>"
 MERGED = "__row binary, n_words long, items array<string>, near_items array<string>, n_hit long"
-SEGMENT = "__rows array<binary>, __starts array<long>, __terms array<int>, __ends array<long>, __places binary"
-
-
-def item_words(text: str | None) -> list[bytes]:
-    return WORDS.findall(text.encode().lower()) if text else []
-
-
-def windows_of(items: list[tuple[str | None, str | None]], width: int) -> tuple[dict[bytes, int], list[tuple[int, ...]], list[list[int]]]:
-    """Vocabulary, the distinct windows as term numbers, and for each the numbers of the items that have it."""
-    vocab: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], list[int]] = {}
-    for n, (_, text) in enumerate(items):
-        ids = [vocab.setdefault(w, len(vocab)) for w in item_words(text)]
-        for i in range(max(1, len(ids) - width + 1) if ids else 0):
-            at = found.setdefault(tuple(ids[i : i + width]), [])
-            if not at or at[-1] != n:
-                at.append(n)
-    return vocab, list(found), list(found.values())
-
-
-class Segment:
-    """Term lists of some whole documents. Places count words; each document is followed by `gap` places without a word, so no match crosses documents."""
-
-    def __init__(self, starts: np.ndarray, terms: np.ndarray, ends: np.ndarray, places: np.ndarray):
-        self.starts, self.where = starts, {int(t): (int(a), int(b)) for t, a, b in zip(terms, np.r_[0, ends][:-1], ends, strict=True)}
-        self.places = places
-
-    def list(self, term: int) -> np.ndarray:
-        a, b = self.where.get(term, (0, 0))
-        return self.places[a:b]
-
-    def phrase(self, window: tuple[int, ...], order: list[int], slop: int = 0) -> np.ndarray:
-        """Where the window begins. order: its places, the rarest term first."""
-        at = self.list(window[order[0]]) - order[0]
-        for j in order[1:]:
-            if not len(at):
-                break
-            there = self.list(window[j])
-            if not len(there):
-                return there
-            k = np.minimum(np.searchsorted(there, at + j - slop), len(there) - 1)
-            near = there[k] - (at + j)
-            at = at[(near >= -slop) & (near <= slop)]
-        return at
-
-
-def _segments(vocab: dict[bytes, int], gap: int):
+SEGMENT = "__rows array<binary>, __starts binary, __terms binary, __ends binary, __places binary"
+
+_INSIDE = np.array([chr(i).isdigit() or "a" <= chr(i) <= "z" if i < 128 else True for i in range(256)])
+
+
+def terms_of(text: str | None) -> np.ndarray:
+    """A hash of each word of the text."""
+    return word_hashes(np.frombuffer((text or "").encode().lower(), np.uint8), _INSIDE)[1]
+
+
+class Windows:
+    """The distinct windows of some items: terms (a row each, 0 beyond its size), size, and the items that have it (own_at, own)."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
+        self.names, rows, owner = [name for name, _ in items], [], []
+        for n, (_, text) in enumerate(items):
+            t = terms_of(text)
+            if not len(t):
+                continue
+            w = np.lib.stride_tricks.sliding_window_view(np.r_[t, np.zeros(max(0, width - len(t)), np.uint64)], width)
+            rows.append(np.c_[w, np.full(len(w), min(width, len(t)), np.uint64)])
+            owner.append(np.full(len(w), n))
+        flat = np.concatenate(rows) if rows else np.zeros((0, width + 1), np.uint64)
+        found, at = np.unique(flat, axis=0, return_inverse=True)
+        self.terms, self.size = np.ascontiguousarray(found[:, :width]), found[:, width].astype(np.int64)
+        pairs = np.unique(np.stack([at.ravel(), np.concatenate(owner)]), axis=1) if rows else np.zeros((2, 0), np.int64)
+        self.own_at, self.own = np.searchsorted(pairs[0], np.arange(len(found) + 1)), pairs[1]
+        self.vocabulary = np.unique(flat[:, :width][np.arange(width) < flat[:, width:].astype(np.int64)]) if rows else np.zeros(0, np.uint64)
+
+    def by_rarity(self, terms: np.ndarray, counts: np.ndarray) -> None:
+        """Order each window's places by how often its terms stand in the corpus (terms, sorted, and counts), and the windows by their rarest term; windows of a term that stands nowhere go."""
+        width = self.terms.shape[1]
+        inside = np.arange(width) < self.size[:, None]
+        k = np.searchsorted(terms, self.terms)
+        k[k == len(terms)] = 0
+        n = np.where(terms[k] == self.terms, counts[k], 0) if len(terms) else np.zeros(self.terms.shape, np.int64)
+        n = np.where(inside, n, np.iinfo(np.int64).max)
+        live = np.flatnonzero((n > 0).all(axis=1))
+        self.order = np.argsort(n, axis=1, kind="stable")
+        rarest = self.terms[np.arange(len(self.terms)), self.order[:, 0]]
+        by = live[np.argsort(rarest[live], kind="stable")]
+        self.rarest, first = np.unique(rarest[by], return_index=True)
+        self.listed, self.list_at = by, np.r_[first, len(by)]
+
+
+def _segments(gap: int, only: np.ndarray | None):
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = vocab.get
         rows, starts, parts, n = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            flat = np.concatenate([p for _, p in parts]) if parts else np.zeros(0, np.int32)
-            base = np.concatenate([np.flatnonzero(p >= 0) + s for s, p in parts]) if parts else np.zeros(0, np.int64)
-            ids = flat[flat >= 0]
-            order = np.argsort(ids, kind="stable")
-            terms, first = np.unique(ids[order], return_index=True)
-            ends = np.r_[first[1:], len(ids)] if len(terms) else first
-            return pd.DataFrame({"__rows": [list(rows)], "__starts": [[*starts, n]], "__terms": [terms.astype(np.int32)], "__ends": [ends.astype(np.int64)], "__places": [base[order].astype(np.int64).tobytes()]})
+            flat = np.concatenate(parts)
+            place = np.concatenate([np.arange(s, s + len(p), dtype=np.int32) for s, p in zip(starts, parts, strict=True)])
+            if only is not None:
+                k = np.minimum(np.searchsorted(only, flat), len(only) - 1)
+                keep = only[k] == flat
+                flat, place = flat[keep], place[keep]
+            order = np.argsort(flat, kind="stable")
+            terms, first = np.unique(flat[order], return_index=True)
+            ends = np.r_[first[1:], len(flat)] if len(terms) else first
+            return pd.DataFrame({"__rows": [list(rows)], "__starts": [np.array([*starts, n], np.int64).tobytes()], "__terms": [terms.tobytes()], "__ends": [ends.astype(np.int64).tobytes()], "__places": [place[order].tobytes()]})
 
         for pdf in batches:
             for row, text in zip(pdf["__row"], pdf["text"], strict=True):
-                ids = np.fromiter((get(w, -1) for w in WORDS.findall(text.encode().lower())), np.int32) if text else np.zeros(0, np.int32)
+                t = terms_of(text)
                 rows.append(row)
                 starts.append(n)
-                parts.append((n, ids))
-                n += len(ids) + gap
+                parts.append(t)
+                n += len(t) + gap
                 if n >= SEGMENT_WORDS:
                     yield flush()
                     rows, starts, parts, n = [], [], [], 0
@@ -124,54 +128,122 @@ def _segments(vocab: dict[bytes, int], gap: int):
     return index
 
 
-def _sorted(names: Iterable[str | None]) -> list[str | None]:
-    return sorted(names, key=lambda x: (x is None, x or ""))
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each term stands in a segment."""
+    for pdf in batches:
+        for terms, ends in zip(pdf["__terms"], pdf["__ends"], strict=True):
+            yield pd.DataFrame({"t": np.frombuffer(terms, np.int64), "n": np.diff(np.frombuffer(ends, np.int64), prepend=0)})
 
 
-def _answers(windows: list, orders: list, owners: list, names: list[str | None], gap: int, slop: int, many: bool):
+def _those_of(vocabulary: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            t = pdf["t"].to_numpy(np.int64).view(np.uint64)
+            k = np.minimum(np.searchsorted(vocabulary, t), len(vocabulary) - 1)
+            yield pdf[vocabulary[k] == t]
+
+    return run
+
+
+class Segment:
+    """Term lists of some whole documents. Places count words; each document is followed by a gap of places without a word, so no match crosses documents."""
+
+    def __init__(self, terms: np.ndarray, ends: np.ndarray, places: np.ndarray, length: int):
+        self.terms, self.ends, self.stride = terms, ends, length + 1024
+        self.first = np.r_[0, ends][:-1] if len(ends) else ends
+        # a posting as one number, ascending: the term's number and the place
+        self.postings = np.repeat(np.arange(len(terms)) * self.stride, ends - self.first) + places
+
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 of those that do not stand here."""
+        k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[k] == terms, k, -1)
+
+    def agree(self, w: Windows, number: np.ndarray, own: np.ndarray, at: np.ndarray, win: np.ndarray, slop: int) -> np.ndarray:
+        """Which candidates (window win, whose terms' numbers are number[own], beginning at `at`) hold their terms within slop places, the rarest first."""
+        left = np.arange(len(at))
+        for j in range(1, w.terms.shape[1]):
+            o, a, v = own[left], at[left], win[left]
+            jj = w.order[v, j]
+            there = number[o, jj] * self.stride + a + jj
+            k = np.minimum(np.searchsorted(self.postings, there - slop), len(self.postings) - 1)
+            near = (self.postings[k] >= there - slop) & (self.postings[k] <= there + slop)
+            left = left[near | (j >= w.size[v])]
+        return left
+
+    def matches(self, w: Windows, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Window, beginning, the rarest term's place, and whether it is exact, of all matches."""
+        if not len(self.terms) or not len(w.rarest):
+            return
+        few, many = (self.terms, w.rarest) if len(self.terms) < len(w.rarest) else (w.rarest, self.terms)
+        k = np.minimum(np.searchsorted(many, few), len(many) - 1)
+        here = np.searchsorted(w.rarest, few[many[k] == few])
+        if not len(here):
+            return
+        win = w.listed[np.concatenate([np.arange(w.list_at[r], w.list_at[r + 1]) for r in here])]
+        number = self.numbers(w.terms[win])
+        full = ((number >= 0) | (np.arange(w.terms.shape[1]) >= w.size[win][:, None])).all(axis=1)
+        win, number = win[full], number[full]
+        rare = number[np.arange(len(win)), w.order[win, 0]]
+        n = self.ends[rare] - self.first[rare]
+        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - n) // CANDIDATES)) + 1).tolist(), len(win)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = np.repeat(np.arange(a, b), n[a:b])
+            within = np.arange(len(own)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            v = win[own]
+            place = self.postings[self.first[rare[own]] + within] - rare[own] * self.stride
+            at = place - w.order[v, 0]
+            left = self.agree(w, number, own, at, v, slop)
+            exact = np.ones(len(left), bool)
+            if slop:
+                exact[:] = False
+                exact[self.agree(w, number, own[left], at[left], v[left], 0)] = True
+            yield v[left], at[left], place[left], exact
+
+
+def _named(pairs: list[np.ndarray], docs: int, names: list[str | None]) -> list[list[str | None]]:
+    """For each document, the sorted names of the items paired with it (document * items + item)."""
+    out: list[list[str | None]] = [[] for _ in range(docs)]
+    for x in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
+        out[x // len(names)].append(names[x % len(names)])
+    for found in out:
+        found.sort(key=lambda x: (x is None, x or ""))
+    return out
+
+
+def _answers(w: Windows, gap: int, slop: int, many: bool):
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows, starts, terms, ends, places in pdf.itertuples(index=False):
-                starts = np.asarray(starts, np.int64)
-                seg = Segment(starts, np.asarray(terms), np.asarray(ends, np.int64), np.frombuffer(places, np.int64))
+                starts = np.frombuffer(starts, np.int64)
+                seg = Segment(np.frombuffer(terms, np.uint64), np.frombuffer(ends, np.int64), np.frombuffer(places, np.int32), int(starts[-1]))
                 hit = np.zeros(int(starts[-1]) + 1, np.int32)
-                docs_items: list[tuple[np.ndarray, int]] = []
-                near_items: list[tuple[np.ndarray, int]] = []
-                for w, order, own in zip(windows, orders, owners, strict=True):
-                    at = seg.phrase(w, order)
-                    if len(at):
-                        np.add.at(hit, at, 1)
-                        np.add.at(hit, at + len(w), -1)
-                        d = np.unique(np.searchsorted(starts, at, side="right") - 1)
-                        docs_items += [(d, o) for o in own]
-                    if slop:
-                        at = seg.phrase(w, order, slop)
-                        if len(at):
-                            d = np.unique(np.searchsorted(starts, np.maximum(at, 0) + order[0], side="right") - 1)
-                            near_items += [(d, o) for o in own]
-                covered = np.r_[0, np.cumsum(np.cumsum(hit) > 0)]
-                items: list[set[int]] = [set() for _ in rows]
-                near: list[set[int]] = [set() for _ in rows]
-                for pairs, to in ((docs_items, items), (near_items, near)):
-                    for d, o in pairs:
-                        for k in d:
-                            to[k].add(o)
-                lengths = np.diff(starts) - gap
+                exact_pairs, near_pairs = [], []
+                for win, at, place, exact in seg.matches(w, slop):
+                    np.add.at(hit, at[exact], 1)
+                    np.add.at(hit, (at + w.size[win])[exact], -1)
+                    n = w.own_at[win + 1] - w.own_at[win]
+                    which = np.repeat(w.own_at[win], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    pair = np.repeat(np.searchsorted(starts, place, side="right") - 1, n) * len(w.names) + w.own[which]
+                    near_pairs.append(np.unique(pair))
+                    exact_pairs.append(np.unique(pair[np.repeat(exact, n)]))
+                marked = np.cumsum(hit) > 0
+                covered = np.r_[0, np.cumsum(marked)]
                 yield pd.DataFrame({
-                    "__row": list(rows), "n_words": lengths, "n_hit": covered[starts[1:]] - covered[starts[:-1]],
-                    "hits": [np.packbits(np.cumsum(hit[a : b - gap]) > 0).tobytes() if many else b"" for a, b in zip(starts[:-1], starts[1:], strict=True)],
-                    "items": [_sorted(names[o] for o in x) for x in items], "near_items": [_sorted(names[o] for o in x) for x in near],
+                    "__row": list(rows), "n_words": np.diff(starts) - gap, "n_hit": covered[starts[1:]] - covered[starts[:-1]],
+                    "hits": [np.packbits(marked[a : b - gap]).tobytes() if many else b"" for a, b in zip(starts[:-1], starts[1:], strict=True)],
+                    "items": _named(exact_pairs, len(rows), w.names), "near_items": _named(near_pairs, len(rows), w.names),
                 })
 
     return answer
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted, that have an occurring window), near_items; a row for each row of docs.
 
     items: item_id, text. near_items also has items whose window's words stand within slop places of theirs.
     """
-    found = _leaks(docs, items, width, slop, block_bytes)
+    found = _leaks(docs, items, width, slop, block_windows)
     return found.withColumn("doc_id", F.when(F.decode("__row", "UTF-8").startswith("v"), F.expr("substring(decode(__row, 'UTF-8'), instr(decode(__row, 'UTF-8'), '|') + 1)")).cast(docs.schema["doc_id"].dataType)).drop("__row")
 
 
@@ -180,25 +252,32 @@ def _row() -> Column:
     return F.encode(F.concat(F.when(F.col("doc_id").isNull(), "n").otherwise("v"), F.xxhash64("text").cast("string"), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")
 
 
-def _leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _leaks(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """As find_leaks, with __row in place of doc_id."""
-    rows = docs.select(_row().alias("__row"), "text")
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes) or 1
-    found = None
+    rows, gap = docs.select(_row().alias("__row"), "text"), width + slop
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+    n_words = F.size(F.array_remove(F.split("text", PUNCT_ANYCASE), ""))
+    n = -(-(items.agg(F.sum(F.greatest(n_words - width + 1, F.lit(1)))).first()[0] or 0) // block_windows) or 1
+
+    def block(b: int) -> Windows:
+        return Windows([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()], width)
+
+    index = counts = found = None
     for b in range(n):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "text").collect()]
-        vocab, windows, owners = windows_of(block, width)
-        gap = width + slop
-        index = materialize(rows.mapInPandas(_segments(vocab, gap), SEGMENT), "postings")
-        counts = index.select(F.explode(F.arrays_zip("__terms", F.transform("__ends", lambda e, i: e - F.when(i > 0, F.get("__ends", i - 1)).otherwise(F.lit(0))).alias("__n"))).alias("x"))
-        freq = {r[0]: r[1] for r in counts.groupBy("x.__terms").agg(F.sum("x.__n")).collect()}  # a row a term of the block
-        orders = [sorted(range(len(w)), key=lambda j, w=w: (freq.get(w[j], 0), j)) for w in windows]
-        live = [i for i, w in enumerate(windows) if all(t in freq for t in w)]
-        names = [name for name, _ in block]
-        part = index.mapInPandas(_answers([windows[i] for i in live], [orders[i] for i in live], [owners[i] for i in live], names, gap, slop, n > 1), ANSWER)
-        found = part if found is None else found.unionByName(materialize(part, "answers"))
+        w = block(b)
+        if index is None:
+            only = w.vocabulary if n == 1 and len(w.vocabulary) else None
+            index = materialize(rows.mapInPandas(_segments(gap, only), SEGMENT), "postings")
+            counts = index.select("__terms", "__ends").mapInPandas(_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+            counts = materialize(counts, "counts") if n > 1 else counts
+        # at most a row a term of the block comes to the driver
+        freq = counts.mapInPandas(_those_of(w.vocabulary), "t long, n long").toPandas() if len(w.vocabulary) else pd.DataFrame({"t": [], "n": []})
+        t = freq["t"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(t)
+        w.by_rarity(t[by], freq["n"].to_numpy(np.int64)[by])
+        part = index.mapInPandas(_answers(w, gap, slop, n > 1), ANSWER)
+        part = materialize(part, "answers") if n > 1 else part
+        found = part if found is None else found.unionByName(part)
     return found.drop("hits") if n == 1 else _merged(found, rows)
 
 
@@ -218,7 +297,8 @@ def _merged(found: DataFrame, rows: DataFrame) -> DataFrame:
 def op10_positional_index(spark, sf_dir: str) -> DataFrame:
     f = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_distinct("items")
-    return f.select("doc_id", "n_words", "n_hit", F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.encode(F.array_join(ids, ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    near = F.size(F.array_distinct("near_items")).cast("bigint").alias("n_near_items")
+    return f.select("doc_id", "n_words", "n_hit", near, F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.encode(F.array_join(ids, ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 ORACLE = r"""
