@@ -118,14 +118,34 @@ def test_binomial_tail(spark):
         assert abs(r["p"] - want) < 1e-12
 
 
-def test_certified_cutoffs(spark):
-    rows = [(i, "s", 100, 500, 60 if i % 4 == 0 else 0, 1, 0, 0) for i in range(8000)]
-    m = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
-    lab = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1) for i in range(8000)], "doc_id long, quality int")
-    got = {r["rule"]: r["cutoff"] for r in quality.certified_cutoffs(m, lab, 0.01, 0.05).collect()}
-    assert got == {"symbols": 0.5}
-    lab = lab.where("doc_id < 200")  # too few for a guarantee
-    assert quality.certified_cutoffs(m, lab, 0.01, 0.05).count() == 0
+MEASURED = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_upper long, n_lines long, n_dup_lines long, n_repeat_words long"
+
+
+def test_certified_policies(spark):
+    rows = [(i, s, 100, 500, 60 if i % 4 == 0 else 0, 5, 1, 0, 0) for s, a in (("a", 0), ("b", 10_000)) for i in range(a, a + 4000)]
+    m = spark.createDataFrame(rows, MEASURED)
+    lab = spark.createDataFrame([(r[0], 0 if r[0] % 4 == 0 else 1) for r in rows], "doc_id long, quality int")
+    got = {r["stratum"]: r for r in quality.certified_policies(m, lab, 0.01, 0.05).collect()}
+    assert {s: r["policy"] for s, r in got.items()} == {"a": 4, "b": 4}  # 60 symbols in 100 words exceed 0.5
+    # both pass their whole sequence, so the second has all of alpha
+    assert sorted(r["level"] for r in got.values()) == [0.025, 0.05]
+    few = lab.where("doc_id < 200 or doc_id > 10000")  # too few in a for a guarantee
+    assert [r["stratum"] for r in quality.certified_policies(m, few, 0.01, 0.05).collect()] == ["b"]
+    bad = lab.withColumn("quality", lab["doc_id"] % 2 * 0 + 1)  # the method would reject good documents only
+    assert quality.certified_policies(m, bad, 0.01, 0.05).count() == 0
+
+
+def test_quality_rejects_and_keeps_its_risk(spark):
+    """Policies from half of the labels; false rejections among the other half stay under the risk in each stratum."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.1"
+    docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    got = quality.judge(docs, lab.where(half), risk=0.03).join(lab.where(~half & F.col("quality").isNotNull()), "doc_id").where("not base_failed")
+    per = got.groupBy("stratum").agg(F.sum("quality").alias("good"), F.count_if(F.expr("quality = 1 and not kept")).alias("lost"), F.count_if(F.expr("quality = 0 and not kept")).alias("caught"), F.count_if(F.expr("quality = 0")).alias("bad")).collect()
+    assert len(per) == 4 and all(r["lost"] <= 0.03 * r["good"] for r in per)
+    assert sum(r["caught"] for r in per) > 0.6 * sum(r["bad"] for r in per)
 
 
 def test_mix_targets_and_copies(docs):
@@ -366,6 +386,109 @@ def test_rows_that_share_an_id_are_judged_alone(spark, labels):
     assert got == +want and len(set(want.values())) > 1
 
 
+def test_each_stage_on_odd_rows(spark):
+    """Null ids, repeated rows, clashing columns and empty tables: each stage's rows, and its columns."""
+    good, near, other = prose(51, 80), prose(51, 80) + " tail", prose(52, 80)
+    three = "first line of it\nsecond line of it\nthird line of it\n"
+    rows = [
+        (1, good, "en", "s0", 9, 5, "x"), (1, good, "en", "s0", 9, 6, None), (2, near, None, None, 9, 5, "x"), (2, other, "en", "s1", 9, 5, "x"),
+        (None, good, "en", "s0", 9, 5, "x"), (None, good, "en", "s0", 9, 5, "x"), (3, None, "en", "s0", None, None, None), (4, "", "en", "s0", 0, 5, "x"),
+        (5, three + prose(53, 60), "en", "s1", 9, 5, "x"), (6, prose(54, 60) + "\n" + three + prose(55, 60), "en", "s1", 9, 5, "x"), (7, "few words", "en", "s1", 9, 5, "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy int, item_id string")
+    found = lambda d: sorted((r["doc_id"] or 0, r["text"] or "") for r in d.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    long = [(r[0] or 0, r[1]) for r in rows if r[1] and len(r[1].split()) >= 10]
+    assert found(stages["quality"](spark, df, SF)) == sorted(long)
+    cut = dict((r["doc_id"], r["text"]) for r in stages["line_dedup"](spark, df, SF).where("doc_id > 3").collect())
+    assert cut[5] == rows[8][1] and cut[6] == prose(54, 60) + "\n" + prose(55, 60)
+    want = sorted([(1, good), (0, good), (0, good), (2, other), (3, ""), (4, ""), (5, rows[8][1]), (6, rows[9][1]), (7, "few words")])
+    assert found(stages["near_dedup"](spark, df, SF)) == want
+    assert found(stages["decontaminate"](spark, df, SF)) == sorted((r[0] or 0, r[1] or "") for r in rows)
+    mixed = stages["mix"](spark, df, SF)
+    assert mixed.columns == [*df.columns, "copy_"] and {r["copy"] for r in mixed.collect()} <= {5, 6, None}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, df.where("false"), SF)
+        assert none.count() == 0 and none.columns[: len(df.columns)] == df.columns, name
+
+
+def test_letters_of_all_planes():
+    assert len(langid.ngrams("\U00020000\U0002a6df")[0]) and len(langid.ngrams("\U00030001")[0]) and not len(langid.ngrams("12 \U0001f600")[0])
+
+
+def test_rank_order_by_brute_force(spark):
+    """Profiles, distances and predictions by plain Python."""
+    r = random.Random(8)
+    letters = {"x": "abcd", "y": "cdef", "z": "a\U00020000"}
+    rows = [(i, "".join(r.choice(letters[k] + " .1") for _ in range(r.randrange(1, 80))), k) for i, k in enumerate("xyz" * 20)] + [(100, None, "x"), (101, "1 2", None), (102, "Ab CD", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: (x["lang_pred"], round(x["score"], 9)) for x in langid.identify(df, size=15, per_language=10**6).collect()}
+
+    def grams(t):
+        w = "".join(ch if ch.isalpha() else " " for ch in (t or "").lower()).split()
+        s = " " + " ".join(w) + " " if w else ""
+        return Counter(g for n in (1, 2, 3) for g in (s[i : i + n] for i in range(len(s) - n + 1)) if g.strip())
+
+    def best(c):
+        # a shorter n-gram's code is smaller, and a blank's than any letter's
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), [0 if ch == " " else ord(ch) for ch in x[0]]))][:15]
+
+    from zlib import crc32
+
+    learned = {}
+    for k in "xyz":
+        c = Counter()
+        for i, t, lang in rows:
+            if lang == k and t is not None and crc32(str(i).encode()) % 4 != 2:
+                c += grams(t)
+        learned[k] = best(c)
+    for i, t, _ in rows:
+        own = best(grams(t))
+        want = ("und", 0.0)
+        if own:
+            far = {k: sum(abs(p.index(g) - n) if g in p else 15 for n, g in enumerate(own)) for k, p in learned.items()}
+            k = min(far, key=lambda x: (far[x], x))
+            want = (k, round(min(1.0, max(0.0, 1 - far[k] / (15 * len(own)))), 9))
+        assert got[i] == want, i
+
+
+def test_noisy_or_by_brute_force(spark):
+    """A model's scores by plain Python, sentence by sentence."""
+    import math
+    import re
+
+    words = np.unique(toxicity.sentences("bad worse fine")[0])
+    names = {int(toxicity.sentences(w)[0][0]): w for w in ("bad", "worse", "fine")}
+    weight = {"bad": 2.0, "worse": 3.5, "fine": -1.0}
+    model = toxicity.Model(words, np.array([weight[names[int(h)]] for h in words]), -4.0)
+    texts = ["Bad day. It was worse! Fine?\nfine fine", "fine", "", None, "...", "a b c", "bad BAD bad"]
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        parts = [set(w for w in re.split(r"[^0-9a-z]+", p) if w) for p in re.split(r"[.!?\n]", (t or "").lower())]
+        s = [1 / (1 + math.exp(4.0 - sum(weight.get(w, 0) for w in p))) for p in parts if p]
+        want = 1 - math.prod(1 - x for x in s)
+        assert abs(got[i]["score"] - want) < 1e-9
+        assert got[i]["worst_sentence"] == (max(range(len(s)), key=lambda k: (s[k], -k)) if s else None)
+
+
+def test_gradient_by_finite_differences():
+    r = np.random.default_rng(4)
+    y, n = np.array([1.0, 0, 1, 0, 1]), np.array([3, 2, 1, 4, 2])
+    pairs = [np.unique(np.stack([r.integers(0, k, 4), r.integers(0, 6, 4)]), axis=1) for k in n]
+    part = toxicity.Bags(y, n, [p[0] for p in pairs], [p[1] for p in pairs], 6)
+    x = r.normal(size=7)
+    loss, grad = part.loss(x)
+    for i in range(7):
+        e = np.zeros(7)
+        e[i] = 1e-6
+        assert abs((part.loss(x + e)[0] - part.loss(x - e)[0]) / 2e-6 - grad[i]) < 1e-5
+    # the loss itself, plainly
+    z = [[x[6] + sum(x[c] for q, c in zip(*p) if q == s) for s in range(k)] for p, k in zip(pairs, n)]
+    p = [1 - np.prod([1 - 1 / (1 + np.exp(-v)) for v in row]) for row in z]
+    plain = -sum(np.log(a) if b else np.log(1 - a) for a, b in zip(p, y)) + 0.025 * (x[:6] ** 2).sum()
+    assert abs(loss - plain / 5) < 1e-9
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     d = docs
@@ -378,7 +501,7 @@ def test_pipeline(spark):
             assert d.columns == docs.columns
             assert len(rows) == len({r["doc_id"] for r in rows})
         if name == "near_dedup":
-            left = minhash.near_duplicates(d)
+            left = minhash.near_duplicates(d, width=2)
             assert left.where("not kept").count() == 0
         if name == "decontaminate":
             assert decontam.find_leaks(d, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").count() == 0

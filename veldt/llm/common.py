@@ -20,9 +20,11 @@ _mine: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one for a local master and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veldt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -59,6 +61,18 @@ class Table:
         _delete(self.spark, self.path)
 
 
+def scratch_mark() -> int:
+    """A mark for drop_scratch."""
+    return len(_mine)
+
+
+def drop_scratch(mark: int, keep: Table) -> None:
+    """Delete the scratch tables written since the mark, but for one."""
+    for spark, path in [x for x in _mine[mark:] if x[1] != keep.path]:
+        _delete(spark, path)
+    _mine[mark:] = [x for x in _mine[mark:] if x[1] == keep.path]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back, which cuts its lineage."""
     return Table(df, label).df

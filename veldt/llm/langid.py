@@ -27,22 +27,30 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-_LETTER = np.array([chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x20000)])
+_BITS = np.uint64(21)
+_known: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter; made once a process."""
+    if not _known:
+        _known.append(np.array([not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(0x110000)]))
+    return _known[0]
 
 
 def ngrams(text: str | None, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the text's n-grams, ascending, and their counts; none without a letter."""
+    """Codes of the text's n-grams, ascending, and their counts; none without a letter. A code is the characters' code points, the blank's being 1."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-    c = np.where(_LETTER[np.minimum(c, 0x1FFFF)], c, 0).astype(np.uint64)
-    if not c.any():
+    c = np.where(_letters()[c], c, 1).astype(np.uint64)
+    if not (c > 1).any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    c = np.r_[np.uint64(0), c, np.uint64(0)]
-    c = c[1:][(c[1:] > 0) | (c[:-1] > 0)]
-    c = np.r_[np.uint64(0), c]
-    out, code = [c[c > 0] | np.uint64(1 << 60)], c
+    one = np.ones(1, np.uint64)
+    c = np.concatenate([one, c, one])
+    c = np.concatenate([one, c[1:][(c[1:] > 1) | (c[:-1] > 1)]])
+    out, code = [c[c > 1]], c
     for n in range(2, longest + 1):
-        code = (code[:-1] << np.uint64(20)) | c[n - 1 :]
-        out.append(code | np.uint64(n << 60))
+        code = (code[:-1] << _BITS) | c[n - 1 :]
+        out.append(code)
     return np.unique(np.concatenate(out), return_counts=True)
 
 

@@ -18,8 +18,8 @@ are the result; so no link between components is lost.
 
 Cases: a null, empty or blank text has no shingles, is linked with nothing and
 kept; a text of fewer words than a shingle has its whole sequence as its one
-shingle; rows of one doc_id with equal texts are one vertex, with different
-texts each is placed by its own text; a row without doc_id is linked with
+shingle; rows of one doc_id are one vertex, also with different texts, and
+linked as any of these is (`deduplicated` tells them apart); a row without doc_id is linked with
 nothing and kept; an empty table gives an empty result; names that start with
 two underscores are reserved.
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_enough, table
@@ -210,6 +210,10 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
     return near.union(far.distinct())
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 25, rows: int = 4, pivots: int = 3, alike: float = 0.6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the smallest doc_id of its component); a row for each row of docs.
 
@@ -289,9 +293,26 @@ def op9_minhash_components(spark, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is kept."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__d"), "left_anti")
+    """One row of each document that is kept.
+
+    Of rows with equal doc_id and text any one stays; texts that share a doc_id
+    are documents of their own, which come last in their group;
+    rows without doc_id all stay.
+    """
+    keyed = docs.withColumn("__h", text_hash())
+    ids = keyed.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__d"), F.col("__h").alias("__g")).count()
+    ids = materialize(ids.groupBy("__d").agg(F.count(F.lit(1)).alias("__texts"), F.max("count").alias("__rows")).where("__texts > 1 or __rows > 1"), "repeated")
+    if ids.isEmpty():
+        gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__d")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("__d"), "left_anti")
+    # numbers from 2^62 on stand for texts that share a doc_id
+    own = F.when(F.col("__texts") > 1, F.shiftrightunsigned(F.xxhash64("doc_id", "__h"), 2).bitwiseOR(F.lit(1 << 62))).otherwise(F.col("doc_id").cast("bigint"))
+    keyed = keyed.join(ids, F.col("doc_id") == F.col("__d"), "left").withColumn("__own", own).drop("__d")
+    gone = near_duplicates(keyed.select(F.col("__own").alias("doc_id"), "text"), **options).where(~F.col("kept")).select(F.col("doc_id").alias("__d")).distinct()
+    left = keyed.join(gone, F.col("__own") == F.col("__d"), "left_anti")
+    # only rows that may be repeated are compared, which combines before it shuffles
+    twice = left.where("__rows > 1").dropDuplicates(["__own"])
+    return left.where("__rows is null or __rows = 1").union(twice).select(docs.columns)
 
 
 _UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -87,7 +87,10 @@ def op3_systematic_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (at most `most` times), with its copy's number from 1."""
+    """The rows of docs, each as often as the mix takes it (at most `most` times), with its copy's number from 1 as `copy`, or `copy_` and so on where docs has that column."""
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
     keyed = docs.withColumn("__k", row_key("source", "text"))
     keys = mix(keyed, keep=("__k",), **options).groupBy("__k").agg(F.count(F.lit(1)).alias("__rows"), F.min("copies").alias("__copies"), F.max("copies").alias("__most"), F.sum("copies").alias("__sum"))
     keys = materialize(keys.where("__most > 0"), "copies")
@@ -98,7 +101,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         placed = ranked(keyed.join(uneven, "__k").withColumn("__x", F.rand(7)), "__k", ["__x"])
         more = (F.col("__n") < F.col("__sum") - F.col("__rows") * F.col("__copies")).cast("bigint")
         joined = joined.unionByName(placed.withColumn("__copies", F.col("__copies") + more).where("__copies > 0").select(joined.columns))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns, "copy")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias(number))
 
 
 ORACLE = r"""

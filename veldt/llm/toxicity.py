@@ -88,30 +88,41 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum())) if len(s) else 0.0
 
 
-def fit(bags: pd.DataFrame, words: np.ndarray, surprise: np.ndarray, steps: int = 400) -> Model:
-    """bags: toxic, n (sentences), s and c (sentence and column of each known word of each sentence); words and surprise by column."""
-    y, n = bags["toxic"].to_numpy(float), bags["n"].to_numpy()
-    count = np.array([len(x) // 4 for x in bags["c"]])
-    sent = np.concatenate([np.frombuffer(x, np.int32) for x in bags["s"]]).astype(np.int64) + np.repeat(np.r_[0, np.cumsum(n)[:-1]], count)
-    col = np.concatenate([np.frombuffer(x, np.int32) for x in bags["c"]])
-    row, inv = np.unique(sent, return_inverse=True)
-    owner = np.searchsorted(np.cumsum(n), row, side="right")
-    plain = n - np.bincount(owner, minlength=len(y))  # sentences without a known word
-    theta, bias = np.clip(surprise / 4, -2, 4), -5.0
-    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
-    for t in range(1, steps + 1):
-        z = np.clip(bias + np.bincount(inv, theta[col], len(row)), -30, 30)
+class Bags:
+    """Labelled documents as sentences with known words: y, the number of sentences n, and for each document the sentence and column of each known word, once a sentence."""
+
+    def __init__(self, y: np.ndarray, n: np.ndarray, sentence: list[np.ndarray], column: list[np.ndarray], columns: int):
+        self.y, self.columns = y, columns
+        sent = np.concatenate(sentence).astype(np.int64) + np.repeat(np.r_[0, np.cumsum(n)[:-1]], [len(x) for x in sentence])
+        self.col = np.concatenate(column)
+        row, self.inv = np.unique(sent, return_inverse=True)
+        self.owner = np.searchsorted(np.cumsum(n), row, side="right")
+        self.plain = n - np.bincount(self.owner, minlength=len(y))  # sentences without a known word
+
+    def loss(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Penalized negative log likelihood a document, and its gradient, at weights x[:-1] and bias x[-1]."""
+        theta, bias, y, rows = x[:-1], x[-1], self.y, len(self.owner)
+        z = np.clip(bias + np.bincount(self.inv, theta[self.col], rows), -30, 30)
         s, s0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        quiet = np.bincount(owner, np.log1p(-np.minimum(s, 1 - 1e-9)), len(y)) + plain * np.log1p(-s0)
+        quiet = np.bincount(self.owner, np.log1p(-np.minimum(s, 1 - 1e-9)), len(y)) + self.plain * np.log1p(-s0)
         p = np.clip(-np.expm1(quiet), 1e-9, 1 - 1e-9)
         # d(-log likelihood)/d quiet, with d quiet / dz = -s
         g = np.where(y > 0, (1 - p) / p, -1.0)
-        dz = -g[owner] * s
-        grad = np.r_[np.bincount(col, dz[inv], len(words)) + 0.05 * theta, dz.sum() - (g * plain).sum() * s0] / len(y)
+        dz = -g[self.owner] * s
+        grad = np.r_[np.bincount(self.col, dz[self.inv], self.columns) + 0.05 * theta, dz.sum() - (g * self.plain).sum() * s0] / len(y)
+        return float(-np.where(y > 0, np.log(p), quiet).sum() + 0.025 * (theta**2).sum()) / len(y), grad
+
+
+def fit(bags: pd.DataFrame, words: np.ndarray, surprise: np.ndarray, steps: int = 400) -> Model:
+    """bags: toxic, n (sentences), s and c (sentence and column of each known word of each sentence); words and surprise by column."""
+    part = Bags(bags["toxic"].to_numpy(float), bags["n"].to_numpy(), *[[np.frombuffer(x, np.int32) for x in bags[c]] for c in "sc"], len(words))
+    x = np.r_[np.clip(surprise / 4, -2, 4), -5.0]
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    for t in range(1, steps + 1):
+        grad = part.loss(x)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        theta, bias = theta - move[:-1], float(bias - move[-1])
-    return Model(words, theta, bias)
+        x = x - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return Model(words, x[:-1], float(x[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: int = 1000, least_docs: int = 4) -> Model:
