@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.llm import decontam, linededup, minhash, mixing, quality
-from veldt.llm.common import materialize, table
+from veldt.llm.common import Table, drop_scratch, scratch_mark, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with 0.8 of their five-word shingles in common, the smallest doc_id stays."""
-    return minhash.deduplicated(docs)
+    """Of each component of documents with 0.8 of their two-word shingles in common, as op9 links them, the smallest doc_id stays."""
+    return minhash.deduplicated(docs, width=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = Table(stage(spark, docs, sf_dir), name)
+        drop_scratch(mark, kept)
+        docs = kept.df
     return STAGES[-1][1](spark, docs, sf_dir)
