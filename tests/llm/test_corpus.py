@@ -412,6 +412,14 @@ def test_each_stage_on_odd_rows(spark):
         assert none.count() == 0 and none.columns[: len(df.columns)] == df.columns, name
 
 
+def test_large_ids_beside_nulls(spark, labels, items):
+    """Ids beyond 2^53 come back whole, also from batches with null ids."""
+    ids = [2**62 + 1, None, 2**62 + 2, None, -(2**62) - 3]
+    df = spark.createDataFrame([(i, prose(60 + k % 2, 30), "en", "s", 1, 1, None) for k, i in enumerate(ids)], COLS).coalesce(1)
+    for name, out in run_all(df, labels, items).items():
+        assert {r["doc_id"] for r in out.collect()} == set(ids), name
+
+
 def test_letters_of_all_planes():
     assert len(langid.ngrams("\U00020000\U0002a6df")[0]) and len(langid.ngrams("\U00030001")[0]) and not len(langid.ngrams("12 \U0001f600")[0])
 

@@ -92,6 +92,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
+def through_pandas(docs: DataFrame, step, schema: str, *columns: str | Column) -> DataFrame:
+    """doc_id and columns through mapInPandas. doc_id travels as text, as pandas would make numbers of a batch with nulls floats; schema is that of the other columns."""
+    kind = docs.schema["doc_id"].dataType
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), *columns).mapInPandas(step, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Add __id and __h: a document is its doc_id (null last) and its text, so repeated rows are one document."""
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1))).withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))

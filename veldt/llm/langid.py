@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, table, through_pandas
 
 _BITS = np.uint64(21)
 _known: list[np.ndarray] = []
@@ -117,9 +117,7 @@ def _predicted(learned: dict[str, np.ndarray], size: int):
 def identify(docs: DataFrame, size: int = 400, per_language: int = 3000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs."""
     learned = profiles(docs.select("doc_id", "text", "lang"), size, per_language)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(_predicted(learned, size), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return through_pandas(docs, _predicted(learned, size), "held_out boolean, lang_pred string, score double", held_out(F.col("doc_id")).alias("held_out"), "text")
 
 
 def op8_rank_order_profiles(spark, sf_dir: str) -> DataFrame:

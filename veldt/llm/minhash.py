@@ -108,11 +108,11 @@ def _sketch(width: int, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, t in zip(pdf["__v"], pdf["text"], strict=True):
+            for i, no, t in zip(pdf["__v"], pdf["__no_id"], pdf["text"], strict=True):
                 s = shingles(t, width)
                 f1, f2 = (int((_mixed(s ^ m) * (s | np.uint64(1))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for m in (_MULT, _MIX))
-                out.append((i, len(s), f1, f2, signature(s, a, b).tobytes() if len(s) else None))
-            yield pd.DataFrame(out, columns=["__v", "n_shingles", "__f1", "__f2", "__sig"]).astype({"__v": "Int64"})
+                out.append((i, no, len(s), f1, f2, signature(s, a, b).tobytes() if len(s) else None))
+            yield pd.DataFrame(out, columns=["__v", "__no_id", "n_shingles", "__f1", "__f2", "__sig"])
 
     return run
 
@@ -220,8 +220,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     alike: candidates of which a smaller share of minima agrees are dropped;
     at a true similarity of 0.8 that loses a pair with probability 3e-6.
     """
-    vs = docs.select(F.col("doc_id").cast("bigint").alias("__v"), "text")
-    sk = materialize(vs.mapInPandas(_sketch(width, bands * rows), "__v long, n_shingles long, __f1 long, __f2 long, __sig binary"), "sketches")
+    # ids without nulls: pandas would make those of a batch with nulls floats
+    vs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("__v"), F.col("doc_id").isNull().alias("__no_id"), "text")
+    sk = materialize(vs.mapInPandas(_sketch(width, bands * rows), "__v long, __no_id boolean, n_shingles long, __f1 long, __f2 long, __sig binary"), "sketches")
+    sk = sk.withColumn("__v", F.when(~F.col("__no_id"), F.col("__v")))
+    vs = vs.where("not __no_id").select("__v", "text")
     same = ["__f1", "__f2", "n_shingles"]
     # equal sets have equal signatures, so any member's serves
     rep = sk.where("n_shingles > 0 and __v is not null").groupBy(*same).agg(F.min("__v").alias("__rep"), F.first("__sig").alias("__sig"))

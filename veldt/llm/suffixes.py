@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, table
+from .common import keyed, materialize, table, through_pandas
 from .minhash import _BYTE, _grown, _mixed
 
 _EIGHT = 8
@@ -348,9 +348,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, width: int = 280, hot: in
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (byte ranges removed) for each row of docs."""
     k = keyed(docs.select("doc_id", "text"))
     cover = repeats(k, length, width, hot).groupBy(F.col("__id").alias("__i"), F.col("__h").alias("__k")).agg(F.collect_set(F.struct("__from", "__to")).alias("__cover"))
-    joined = k.join(cover, (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__k")), "left").select("doc_id", "text", "__cover")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInPandas(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
+    joined = k.join(cover, (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__k")), "left")
+    return through_pandas(joined, _cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>", "text", "__cover")
 
 
 def op6_suffix_merge_sort(spark, sf_dir: str) -> DataFrame:

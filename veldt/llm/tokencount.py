@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, through_pandas
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenizer pattern of the byte-level BPE vocabulary (a fixed value).
@@ -109,8 +109,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "sta
     """doc_id, section (from 0), first_char, n_chars, n_tokens (double: `share` gives fractions)."""
     if rule not in ("start", "most", "share"):
         raise ValueError(f"unknown rule {rule!r}")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(_attributed(vocabulary, rule, sections), f"doc_id {kind}, section long, first_char long, n_chars long, n_tokens double")
+    return through_pandas(docs, _attributed(vocabulary, rule, sections), "section long, first_char long, n_chars long, n_tokens double", "text")
 
 
 def op1_section_tokens(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, table, through_pandas
 from .minhash import word_hashes
 
 _WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
@@ -160,9 +160,8 @@ def _scored(model: Model):
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, and the worst sentence: its number, the byte at which it begins, its score."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(_scored(model), f"doc_id {kind}, held_out boolean, score double, worst_sentence long, worst_byte long, worst_score double")
+    schema = "held_out boolean, score double, worst_sentence long, worst_byte long, worst_score double"
+    return through_pandas(docs, _scored(model), schema, held_out(F.col("doc_id")).alias("held_out"), "text")
 
 
 def op7_multiple_instance(spark, sf_dir: str) -> DataFrame:
