@@ -1,4 +1,10 @@
-"""Inverted-file index: k-means lists over an embedding column, probed by list."""
+"""Inverted-file index: k-means lists over an embedding column, probed by list.
+
+Queries and the lists that they probe go to every task, in blocks of a checked
+size, so a search moves no data: a task compares the rows of a list with the
+queries that probe it, and lists that none probes are not read if the index was
+saved, which partitions it by list.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,6 @@ import hashlib
 import json
 import re
 import warnings
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,20 +20,31 @@ from pyspark.sql import functions as F
 
 from veldt.functions.exprs import DISTANCES
 
-from .vector import _matrix, distances, knn_join, nearest
+from .vector import FOUND, _joined, _matrix, check, distances, kernel, knn_join, nearest, query_blocks
+
+#: Bytes of vectors that k-means may be fitted on.
+SAMPLE_BYTES = 512 << 20
 
 
 def parse_spec(spec: str) -> int | None:
-    """Number of lists of a factory text; None for exhaustive search. Graph indexes are stood in for by lists."""
+    """Number of lists of a factory text; None for exhaustive search. Graph and product-quantized indexes are not offered."""
     parts = [p for p in spec.split(",") if p != "GPU"]
-    if parts[0] == "Flat":
+    if parts == ["Flat"]:
         return None
-    if m := re.match(r"IVF(\d+)$", parts[0]):
+    if (m := re.match(r"IVF(\d+)$", parts[0])) and parts[1:] in ([], ["Flat"]):
         return int(m[1])
-    if parts[0].startswith(("HNSW", "Cagra")):
-        warnings.warn(f"{spec}: a list index stands in for the graph index", stacklevel=2)
-        return 256
-    raise ValueError(f"unknown index {spec!r}")
+    raise ValueError(f"index {spec!r} is not offered; use Flat or IVF<lists>,Flat")
+
+
+def parse_params(text: str) -> dict[str, int]:
+    """Search parameters such as `nprobe=30`; those of other kinds of index are an error."""
+    out = {}
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        name, _, value = part.partition("=")
+        if name.strip() != "nprobe":
+            raise ValueError(f"search parameter {name.strip()!r} is not offered; use nprobe")
+        out["nprobe"] = int(value)
+    return out
 
 
 def kmeans(x: np.ndarray, k: int, metric: str, steps: int = 10, seed: int = 7) -> np.ndarray:
@@ -55,17 +71,17 @@ class IVFIndex:
         self.lists, self.centroids, self.key, self.col, self.metric = lists, centroids, key, col, metric
 
     @classmethod
-    def build(cls, data: DataFrame, key: str, col: str, spec: str, metric: str = "L2", sample_per_list: int = 256) -> IVFIndex:
-        """Train on sample_per_list rows a list at most, by key order of a hash; assign every row."""
+    def build(cls, data: DataFrame, key: str, col: str, spec: str, metric: str = "L2", sample_per_list: int = 256, sample_bytes: int = SAMPLE_BYTES) -> IVFIndex:
+        """Train on sample_per_list rows a list and sample_bytes at most, by key order of a hash; assign every row."""
         n = parse_spec(spec)
         if n is None:
             return cls(data.withColumn("__list", F.lit(0)), None, key, col, metric)
         rows = data.where(F.col(col).isNotNull())
-        total = rows.count()
+        total, dim = rows.agg(F.count(F.lit(1)), F.max(F.size(col))).first()
         if total < n * 39:
             warnings.warn(f"{total} rows are few for {n} lists", stacklevel=2)
             n = max(1, min(n, total // 39))
-        sample = rows.select(key, col).orderBy(F.xxhash64(key), key).limit(sample_per_list * n).collect()
+        sample = rows.select(key, col).orderBy(F.xxhash64(key), key).limit(min(sample_per_list * n, max(n, sample_bytes // (8 * (dim or 1))))).collect()
         if not sample:
             return cls(rows.withColumn("__list", F.lit(0)), np.zeros((0, 0)), key, col, metric)
         c = kmeans(_matrix([r[1] for r in sample]), n, metric)
@@ -93,40 +109,78 @@ class IVFIndex:
         c = m["centroids"]
         return cls(spark.read.parquet(f"{path}/lists"), None if c is None else np.array(c), m["key"], m["col"], m["metric"])
 
-    def search(self, query: DataFrame, query_key: str, query_col: str, k: int | None = None, radius: float | None = None, nprobe: int = 10, where: Column | None = None, distance: str = "vs_distance", refine: bool = False) -> DataFrame:
+    def search(self, query: DataFrame, query_key: str, query_col: str, k: int | None = None, radius: float | None = None, nprobe: int = 10, where: Column | None = None, on: Column | None = None, distance: str = "vs_distance", refine: bool = False) -> DataFrame:
         """Approximate k nearest (or those within radius) among the nprobe nearest lists; exact if all are probed.
 
-        refine, for k nearest only: lists beyond these are probed too where a bound on
-        their distance lets them hold a vector nearer than the k-th found, so the result is exact.
-        where may mention columns of both sides. Columns: the query's, data's without vectors, the distance.
+        where: a condition on data columns (a bitmap column serves as well as an
+        expression). on: a condition on columns of both sides. refine, for k
+        nearest without `on`: lists beyond these are probed too where a bound on
+        their distance lets them hold a vector nearer than the k-th found, so the
+        result is exact. Columns: the query's, data's without vectors, the distance.
         """
-        data = self.lists.drop("__list")
-        if refine and k is None:
-            raise ValueError("refine needs k")
-        if self.centroids is None and where is None:
+        check(k, radius, self.metric)
+        if refine and (k is None or on is not None):
+            raise ValueError("refine needs k and no condition on both sides")
+        lists = self.lists.where(where) if where is not None else self.lists
+        data = lists.drop("__list")
+        if on is not None:
+            return self._conditional(lists, query, query_key, query_col, k, radius, nprobe, on, distance)
+        if self.centroids is None or not len(self.centroids):
             return knn_join(data, query, self.key, query_key, self.col, query_col, k, radius, self.metric, distance=distance)
+        spark, parts = lists.sparkSession, []
+        for ids, q, _ in query_blocks(query, query_key, query_col):
+            probed = np.zeros((len(ids), len(self.centroids)), bool)
+            if len(ids):
+                np.put_along_axis(probed, _closest(self.centroids, q, self.metric, nprobe), True, axis=1)
+            found = self._probe(lists, ids, q, probed, k, radius)
+            if refine and not probed.all():
+                # a row a query of the block comes to the driver
+                found = nearest(found, ["q"], "d", "k", k, self.metric)
+                found = spark.createDataFrame(found.toPandas(), FOUND)
+                last = {r[0]: r[1] for r in found.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, (F.max if self.metric == "L2" else F.min)("d"))).collect()}
+                more = self._open(q, np.array([last.get(i) for i in ids.tolist()], float)) & ~probed
+                found = found.union(self._probe(lists, ids, q, more, k, radius)) if more.any() else found
+            parts.append(found)
+        found = spark.createDataFrame([], FOUND)
+        for part in parts:
+            found = found.union(part)
+        if k is not None:
+            found = nearest(found, ["q"], "d", "k", k, self.metric)
+        return _joined(data, query, self.key, query_key, self.col, query_col, found, False, False, distance, k, self.metric)
+
+    def _probe(self, lists: DataFrame, ids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int | None, radius: float | None) -> DataFrame:
+        """Hits of queries in the lists marked in probed (queries by lists)."""
+        some = np.flatnonzero(probed.any(axis=0)).tolist()
+        rows = lists if len(some) == probed.shape[1] else lists.where(F.col("__list").isin(some))
+        rows = rows.select(F.col(self.key).cast("bigint").alias("k"), F.xxhash64(self.col).alias("h"), F.col(self.col).alias("v"), F.col("__list").alias("l"))
+        allowed = (lambda batch: None) if probed.all() else (lambda batch: probed[:, batch.column("l").to_numpy()])
+        return rows.mapInArrow(kernel(ids, q, self.metric, k, radius, allowed), FOUND)
+
+    def _open(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Which lists may hold a vector as near as the k-th found (NaN: fewer than k), by the triangle inequality or Cauchy-Schwarz; a little slack for rounding."""
+        far, d = self._radii(), distances(self.centroids, q, self.metric).T
+        bound = np.maximum(np.sqrt(np.maximum(d, 0)) - far, 0) ** 2 if self.metric == "L2" else -d - np.sqrt((q**2).sum(axis=1))[:, None] * far
+        worst = kth * (1 if self.metric == "L2" else -1)
+        return (far >= 0) & ~(bound > (worst + 1e-9 * (1 + np.abs(worst)))[:, None])
+
+    def _conditional(self, lists: DataFrame, query: DataFrame, query_key: str, query_col: str, k: int | None, radius: float | None, nprobe: int, on: Column, distance: str) -> DataFrame:
+        """Search under a condition on both sides, settled by a join on the list before a distance is computed."""
         if self.centroids is None or not len(self.centroids):
-            probes = query.withColumn("__list", F.lit(0))
+            pairs = lists.join(query, on)
         else:
             c, metric, n = self.centroids, self.metric, min(nprobe, len(self.centroids))
 
             @F.pandas_udf("array<int>")
-            def lists(v: pd.Series) -> pd.Series:
+            def nearest_lists(v: pd.Series) -> pd.Series:
                 return pd.Series([list(map(int, r)) for r in _closest(c, _matrix(v), metric, n)])
 
-            probes = query.withColumn("__list", F.explode(lists(F.col(query_col))))
-
-        def found(probes: DataFrame) -> DataFrame:
-            pairs = self.lists.join(probes, "__list")
-            pairs = (pairs.where(where) if where is not None else pairs).withColumn(distance, DISTANCES[self.metric](self.col, query_col))
-            if radius is not None:
-                pairs = pairs.where(F.col(distance) < radius if self.metric == "L2" else F.col(distance) > radius)
-            return pairs if k is None else nearest(pairs, [query_key], distance, self.key, k, self.metric)
-
-        pairs = found(probes)
-        if refine and self.centroids is not None and nprobe < len(self.centroids):
-            pairs = nearest(pairs.unionByName(found(self._left(query, query_key, query_col, pairs, k, nprobe, distance))), [query_key], distance, self.key, k, self.metric)
-        return pairs.select(*[c for c in query.columns if c != query_col], *[c for c in data.columns if c != self.col], distance)
+            pairs = lists.join(query.withColumn("__probe", F.explode(nearest_lists(F.col(query_col)))), (F.col("__list") == F.col("__probe")) & on)
+        pairs = pairs.withColumn(distance, DISTANCES[self.metric](self.col, query_col))
+        if radius is not None:
+            pairs = pairs.where(F.col(distance) < radius if self.metric == "L2" else F.col(distance) > radius)
+        else:
+            pairs = nearest(pairs, [query_key], distance, self.key, k, self.metric)
+        return pairs.select(*[x for x in query.columns if x != query_col], *[x for x in lists.columns if x not in (self.col, "__list")], distance)
 
     def _radii(self) -> np.ndarray:
         """The distance of each list's farthest vector from its centroid; a row a list comes to the driver."""
@@ -140,31 +194,3 @@ class IVFIndex:
         for i, r in self.lists.groupBy("__list").agg(F.max(off("__list", self.col))).collect():
             far[i] = r
         return far
-
-    def _left(self, query: DataFrame, query_key: str, query_col: str, near: DataFrame, k: int, nprobe: int, distance: str) -> DataFrame:
-        """query with each __list beyond the nprobe nearest that may hold a vector as near as the k-th of near."""
-        c, far, metric = self.centroids, self._radii(), self.metric
-        last = (F.max if metric == "L2" else F.min)(distance)
-        kth = near.groupBy(F.col(query_key).alias("__q")).agg(F.when(F.count(F.lit(1)) >= k, last).alias("__kth"))
-
-        @F.pandas_udf("array<int>")
-        def lists(v: pd.Series, kth: pd.Series) -> pd.Series:
-            q = _matrix(v)
-            if not len(q):
-                return pd.Series([], dtype=object)
-            d = distances(c, q, metric).T
-            # by the triangle inequality, and by Cauchy-Schwarz; a little slack for rounding
-            bound = np.maximum(np.sqrt(np.maximum(d, 0)) - far, 0) ** 2 if metric == "L2" else -d - np.sqrt((q**2).sum(axis=1))[:, None] * far
-            worst = kth.to_numpy(np.float64) * (1 if metric == "L2" else -1)
-            may = (far >= 0) & ~(bound > (worst + 1e-9 * (1 + np.abs(worst)))[:, None])
-            np.put_along_axis(may, _closest(c, q, metric, nprobe), False, axis=1)
-            return pd.Series([np.flatnonzero(r).tolist() for r in may])
-
-        joined = query.join(kth, F.col(query_key).eqNullSafe(F.col("__q")), "left")
-        return joined.withColumn("__list", F.explode(lists(F.col(query_col), F.col("__kth")))).drop("__q", "__kth")
-
-
-def recall(found: DataFrame, truth: DataFrame, keys: list[str]) -> float:
-    """Share of truth's rows, by keys, that found has."""
-    n = truth.count()
-    return truth.select(*keys).intersectAll(found.select(*keys)).count() / n if n else 1.0

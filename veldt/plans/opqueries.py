@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions import exprs as E
 from veldt.functions.aggs import aggregate as agg
+from veldt.operators import dataset
 from veldt.operators import relational as R
 
 QUERIES: dict = {}
@@ -98,14 +99,22 @@ def _(s, d):
     return read(s, d, "part").select("p_partkey", F.round(F.sqrt(n), 9).alias("r"), F.round(F.exp(n / 50.0), 9).alias("e"), n.bitwiseAND(5).alias("a"), n.bitwiseOR(5).alias("o"), n.bitwiseXOR(5).alias("x"), F.bitwise_not(n).alias("n"), E.divide(n.cast("double"), n % 10).alias("q"))
 
 
+# whole tables; the customers' keys are shifted and some are null, so that both sides have rows without a match
+_CUST = "SELECT CASE WHEN c_nationkey <> 3 THEN c_custkey + 100 END AS ck, c_name FROM customer"
+
+
+def _customers(s, d):
+    return read(s, d, "customer").select(F.when(F.col("c_nationkey") != 3, F.col("c_custkey") + 100).alias("ck"), "c_name")
+
+
 for kind, sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "full": "FULL JOIN"}.items():
-    QUERIES[f"join_{kind}"] = lambda s, d, kind=kind: R.join(read(s, d, "customer", "c_custkey").where("c_custkey % 3 = 0"), read(s, d, "orders", "o_orderkey", "o_custkey").where("o_orderkey % 5 = 0"), kind, ["c_custkey"], ["o_custkey"])
-    ORACLE_SQL[f"join_{kind}"] = f"SELECT * FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) a {sql} (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0) b ON c_custkey = o_custkey"
+    QUERIES[f"join_{kind}"] = lambda s, d, kind=kind: R.join(_customers(s, d), read(s, d, "orders", "o_orderkey", "o_custkey"), kind, ["ck"], ["o_custkey"])
+    ORACLE_SQL[f"join_{kind}"] = f"SELECT * FROM ({_CUST}) a {sql} (SELECT o_orderkey, o_custkey FROM orders) b ON ck = o_custkey"
 for kind, sql in {"left_semi": "EXISTS", "left_anti": "NOT EXISTS"}.items():
-    QUERIES[f"join_{kind[5:]}"] = lambda s, d, kind=kind: R.join(read(s, d, "customer", "c_custkey", "c_name"), read(s, d, "orders").where("o_orderkey % 7 = 0"), kind, ["c_custkey"], ["o_custkey"])
-    ORACLE_SQL[f"join_{kind[5:]}"] = f"SELECT c_custkey, c_name FROM customer WHERE {sql} (SELECT 1 FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey = c_custkey)"
-    QUERIES[f"join_right_{kind[5:]}"] = lambda s, d, kind=kind: R.join(read(s, d, "orders").where("o_orderkey % 7 = 0"), read(s, d, "customer", "c_custkey"), "right" + kind[4:], ["o_custkey"], ["c_custkey"])
-    ORACLE_SQL[f"join_right_{kind[5:]}"] = f"SELECT c_custkey FROM customer WHERE {sql} (SELECT 1 FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey = c_custkey)"
+    QUERIES[f"join_{kind[5:]}"] = lambda s, d, kind=kind: R.join(_customers(s, d), read(s, d, "orders"), kind, ["ck"], ["o_custkey"])
+    ORACLE_SQL[f"join_{kind[5:]}"] = f"SELECT ck, c_name FROM ({_CUST}) a WHERE {sql} (SELECT 1 FROM orders WHERE o_custkey = ck)"
+    QUERIES[f"join_right_{kind[5:]}"] = lambda s, d, kind=kind: R.join(_customers(s, d), read(s, d, "orders", "o_orderkey", "o_custkey"), "right" + kind[4:], ["ck"], ["o_custkey"])
+    ORACLE_SQL[f"join_right_{kind[5:]}"] = f"SELECT o_orderkey, o_custkey FROM orders WHERE {sql} (SELECT 1 FROM ({_CUST}) a WHERE ck = o_custkey)"
 
 
 @query("join_suffixes", "SELECT a.n_nationkey AS n_nationkey_l, a.n_name AS n_name_l, b.n_nationkey AS n_nationkey_r, b.n_name AS n_name_r, a.n_regionkey AS n_regionkey_l, b.n_regionkey AS n_regionkey_r FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -173,9 +182,10 @@ def _(s, d):
     return R.distinct(read(s, d, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
-@query("sort_null_order", "SELECT p_partkey, k FROM (SELECT p_partkey, nullif(p_size, 7) AS k FROM part) x ORDER BY k DESC NULLS FIRST, p_partkey LIMIT 40")
+@query("sort_null_order", "SELECT p_partkey, k, row_number() OVER (ORDER BY k DESC NULLS FIRST, p_partkey) - 1 AS place FROM (SELECT p_partkey, nullif(p_size, 7) AS k FROM part) x")
 def _(s, d):
-    return R.top_k(read(s, d, "part").select("p_partkey", F.nullif("p_size", F.lit(7)).alias("k")), [("k", "desc"), ("p_partkey", "asc")], 40)
+    # the whole table in order; places number the sorted rows range by range
+    return dataset.ranked(read(s, d, "part").select("p_partkey", F.nullif("p_size", F.lit(7)).alias("k")), R.sort_keys([("k", "desc"), ("p_partkey", "asc")]), "place")
 
 
 @query("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
@@ -202,3 +212,29 @@ def _(s, d):
 @query("order_limit_per_partition", "SELECT n_regionkey, n_nationkey FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) <= 3")
 def _(s, d):
     return R.limit_per_group(read(s, d, "nation"), ["n_regionkey"], [("n_name", "desc")], 3).select("n_regionkey", "n_nationkey")
+
+
+for name, f, sql in (
+    ("math_functions", lambda x: [F.sin(x), F.cos(x), F.tan(x), F.asin(x / 100), F.acos(x / 100), F.atan(x), F.log(x), F.ceil(x / 3).cast("double"), F.floor(x / 3).cast("double")], "sin({x}), cos({x}), tan({x}), asin({x} / 100), acos({x} / 100), atan({x}), ln({x}), ceil({x} / 3), floor({x} / 3)"),
+    ("round_half_even", lambda x: [F.rint(x / 2), F.rint(-x / 2)], "round_even({x} / 2, 0), round_even(-{x} / 2, 0)"),
+):
+    parts = sql.format(x="p_size::DOUBLE").split("), ")
+    parts = [p if p.endswith(")") else p + ")" for p in parts]
+    QUERIES[name] = lambda s, d, f=f: read(s, d, "part").select("p_partkey", *[F.round(c, 9).alias(f"v{i}") for i, c in enumerate(f(F.col("p_size").cast("double")))])
+    ORACLE_SQL[name] = "SELECT p_partkey, " + ", ".join(f"round({p}, 9) AS v{i}" for i, p in enumerate(parts)) + " FROM part"
+
+
+@query("cast_safe", "SELECT p_partkey, p_size::SMALLINT AS s, p_size::DOUBLE AS f, p_partkey::VARCHAR AS t, (p_retailprice::DECIMAL(15,2))::VARCHAR AS m, TRY_CAST(p_name AS INT) AS n FROM part")
+def _(s, d):
+    return read(s, d, "part").select("p_partkey", F.col("p_size").cast("smallint").alias("s"), F.col("p_size").cast("double").alias("f"), F.col("p_partkey").cast("string").alias("t"), F.col("p_retailprice").cast("decimal(15,2)").cast("string").alias("m"), F.col("p_name").try_cast("int").alias("n"))
+
+
+@query("table_helpers", "SELECT n_nationkey AS k, 7 AS seven, n_nationkey * 2 AS twice FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 3")
+def _(s, d):
+    n = read(s, d, "nation").withColumn("seven", F.lit(7)).withColumn("twice", F.col("n_nationkey") * 2).drop("n_name", "n_regionkey")
+    return R.limit(R.order_by(n, [("n_nationkey", "asc")]), 5, 3).withColumnRenamed("n_nationkey", "k")
+
+
+@query("distinct_keep_all", "SELECT l_returnflag, count(*) > 0 AS one FROM lineitem GROUP BY l_returnflag")
+def _(s, d):
+    return R.distinct(read(s, d, "lineitem"), ["l_returnflag"], keep_all=True).select("l_returnflag", F.col("l_orderkey").isNotNull().alias("one"))

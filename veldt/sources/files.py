@@ -45,8 +45,14 @@ def read_parquet(spark: SparkSession, paths: list[str], schema: T.StructType | N
 
 
 def read_csv(spark: SparkSession, paths: list[str], schema: T.StructType | None = None, columns: list[str] | None = None) -> DataFrame:
-    r = spark.read.option("header", True)
-    return _chosen((r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(paths), columns)
+    """Files with a header. Without a schema, names such as `x(int)` give the columns' types, others are inferred."""
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    if schema is not None:
+        return _chosen(r.schema(schema).csv(paths), columns)
+    typed = [re.match(r"(.+)\(([a-z]+(?:\(\d+,\d+\))?)\)$", c) for c in r.csv(paths).columns]
+    if typed and all(typed):
+        return _chosen(r.schema(", ".join(f"`{m[1]}` {m[2]}" for m in typed)).csv(paths), columns)
+    return _chosen(r.option("inferSchema", True).csv(paths), columns)
 
 
 def from_rows(spark: SparkSession, rows: list, schema) -> DataFrame:
@@ -55,7 +61,7 @@ def from_rows(spark: SparkSession, rows: list, schema) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Typed header `name(type)`, quoted where needed."""
-    df.select(*[F.col(c).alias(f"{c}({t})") for c, t in df.dtypes]).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*[F.col(c).alias(f"{c}({t})") for c, t in df.dtypes]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_fragments(df: DataFrame, path: str, n: int) -> None:
