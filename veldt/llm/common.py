@@ -1,14 +1,14 @@
-"""Shared helpers of the corpus operators: scratch tables, document keys and the word patterns."""
+"""Shared helpers of the corpus operators: document keys and the word patterns."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldt.scratch import Table, drop_scratch, materialize, scratch_mark, scratch_root
+
+__all__ = ["Table", "drop_scratch", "materialize", "scratch_mark", "scratch_root"]
+
 #: A word between white space (regex character class of the separators).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,68 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 PUNCT_ANYCASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PUNCT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_mine: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one for a local master and an error on a cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="veldt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _sweep() -> None:
-    for spark, path in _mine:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(_sweep)
-
-
-class Table:
-    """A DataFrame written once to the shared scratch folder; lost executors only cost a re-read."""
-
-    def __init__(self, df: DataFrame, label: str):
-        self.spark = df.sparkSession
-        self.path = f"{scratch_root(self.spark)}/veldt-{label}-{uuid.uuid4().hex}"
-        _mine.append((self.spark, self.path))
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        _delete(self.spark, self.path)
-
-
-def scratch_mark() -> int:
-    """A mark for drop_scratch."""
-    return len(_mine)
-
-
-def drop_scratch(mark: int, keep: Table) -> None:
-    """Delete the scratch tables written since the mark, but for one."""
-    for spark, path in [x for x in _mine[mark:] if x[1] != keep.path]:
-        _delete(spark, path)
-    _mine[mark:] = [x for x in _mine[mark:] if x[1] == keep.path]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back, which cuts its lineage."""
-    return Table(df, label).df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
