@@ -41,12 +41,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, table, through_pandas
+from .common import keyed, materialize, small_enough, table, through_pandas
 from .minhash import _BYTE, _grown, _mixed
 
 _EIGHT = 8
 #: Suffixes that one merging task may get on average.
 MERGE_ROWS = 40_000
+#: Hashes of first bytes that may be broadcast, 8 bytes each.
+BROADCAST_ROWS = 2_000_000
 #: Anchors that may share their first bytes in one merging task.
 HOT = 200_000
 
@@ -183,20 +185,24 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-RUNS = "__part int, n int, lcp binary, rest binary, size binary, before binary, meta binary"
+#: A text and the anchors asked for; times: how many rows are this text.
+WANT = ["__id", "__h", "text", "__near", "__p", "__lo", "__hi", "__times"]
+RUNS = "__part int, n int, lcp binary, rest binary, size binary, before binary, meta binary, known binary"
+#: Bytes of runs that a task hands over at once.
+FRAME_BYTES = 1 << 20
 
 
-def _runs(length: int, parts: int, most: int = 50_000):
-    """Contexts of the anchors asked for, as sorted front-coded runs for each part; ranges known to be covered have part -1."""
+def _runs(length: int, parts: int, most: int = 30_000):
+    """Contexts of the anchors asked for, as sorted front-coded runs for each part, with the ranges already known to be covered."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, bytes, bytes, tuple]] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             held.sort(key=lambda x: x[:3])
-            out, covered, a = [], [], 0
+            out, size, a = [], 0, 0
             while a < len(held):
-                part, keep, e = held[a][0], [], a
+                part, keep, known, e = held[a][0], [], [], a
                 while e < len(held) and held[e][0] == part:
                     c = e + 1
                     while c < len(held) and held[c][:3] == held[e][:3]:
@@ -204,49 +210,42 @@ def _runs(length: int, parts: int, most: int = 50_000):
                     i, h, p, lo, hi, times = held[e][3]
                     done = c - e > 1 or times > 1
                     if done:
-                        covered += [(m[0], m[1], m[2] - m[4], m[2] - m[3] + length) for m in (x[3] for x in held[e:c])]
+                        known += [(m[0], m[1], m[2] - m[4], m[2] - m[3] + length) for m in (x[3] for x in held[e:c])]
                     keep.append((held[e][1], held[e][2], (i, h, p, lo, hi, int(done))))
                     e = c
-                lcp, rest, size = front_coded([x[0] for x in keep])
-                meta = np.array([x[2] for x in keep], np.int64)
-                out.append((part, len(keep), lcp.tobytes(), rest, size.tobytes(), b"".join(x[1] for x in keep), meta.tobytes()))
-                a = e
-            if covered:
-                out.append((-1, len(covered), b"", b"", b"", b"", np.array(covered, np.int64).tobytes()))
+                lcp, rest, sizes = front_coded([x[0] for x in keep])
+                before, meta = b"".join(x[1] for x in keep), np.array([x[2] for x in keep], np.int64)
+                out.append((part, len(keep), lcp.tobytes(), rest, sizes.tobytes(), before, meta.tobytes(), np.array(known, np.int64).tobytes()))
+                size, a = size + len(rest) + len(before) + 56 * len(keep) + 32 * len(known), e
+                if size >= FRAME_BYTES or a == len(held):
+                    yield pd.DataFrame(out, columns=["__part", "n", "lcp", "rest", "size", "before", "meta", "known"])
+                    out, size = [], 0
             held.clear()
-            return pd.DataFrame(out, columns=["__part", "n", "lcp", "rest", "size", "before", "meta"])
 
         for pdf in batches:
-            for i, h, t, want in zip(pdf["__id"], pdf["__h"], pdf["text"], pdf["__want"], strict=True):
+            for i, h, t, near, at, los, his, times in zip(*[pdf[c] for c in WANT], strict=True):
                 b = t.encode()
-                for w in want:
-                    p, lo, hi = w["__p"], w["__lo"], w["__hi"]
-                    held.append((w["__near"] % parts, b[p : p + length - lo], b[p - hi : p], (i, h, p, lo, hi, w["times"])))
+                for part, p, lo, hi in zip((near % parts).tolist(), at.tolist(), los.tolist(), his.tolist(), strict=True):
+                    held.append((part, b[p : p + length - lo], b[p - hi : p], (i, h, p, lo, hi, times)))
                     if len(held) >= most:
-                        yield flush()
+                        yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The ranges of the rows of part -1."""
-    for pdf in batches:
-        if len(pdf):
-            yield pd.DataFrame(np.frombuffer(b"".join(pdf["meta"]), np.int64).reshape(-1, 4), columns=["__id", "__h", "__from", "__to"]).astype({"__from": np.int32, "__to": np.int32})
-
-
 def _starts(length: int):
     """A hash of each string that chose one of the anchors asked for, and where it begins."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, h, t, want in zip(pdf["__id"], pdf["__h"], pdf["text"], pdf["__want"], strict=True):
+            for i, h, t, _, at, los, his, times in zip(*[pdf[c] for c in WANT], strict=True):
                 sums, q = _sums(np.frombuffer(t.encode(), np.uint8))
-                for a in range(0, len(want), 1000):
-                    at = np.concatenate([np.repeat(np.arange(w["__p"] - w["__hi"], w["__p"] - w["__lo"] + 1), w["times"]) for w in want[a : a + 1000]])
-                    yield pd.DataFrame({"__s": _mixed((sums[at + length] - sums[at]) * q[at]).view(np.int64), "__id": i, "__h": h, "__from": at.astype(np.int32)})
+                for a in range(0, len(at), 1000):
+                    ranges = zip((at - his)[a : a + 1000].tolist(), (at - los)[a : a + 1000].tolist(), strict=True)
+                    begin = np.repeat(np.concatenate([np.arange(x, y + 1) for x, y in ranges]), times)
+                    yield pd.DataFrame({"__s": _mixed((sums[begin + length] - sums[begin]) * q[begin]).view(np.int64), "__id": i, "__h": h, "__from": begin.astype(np.int32)})
 
     return run
 
@@ -257,7 +256,7 @@ COVER = "__id long, __h long, __from int, __to int"
 def _merged(length: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         runs, before, meta, base = [], [], [], [0]
-        for _, n, lcp, rest, size, left, m in pdf.itertuples(index=False):
+        for _, n, lcp, rest, size, left, m, _ in pdf.itertuples(index=False):
             lcp = np.frombuffer(lcp, np.int32)
             runs.append((decoded(lcp, rest, np.frombuffer(size, np.int32)), lcp.tolist()))
             before.append(left)
@@ -293,7 +292,8 @@ def _merged(length: int, width: int):
             cut = np.flatnonzero(np.diff(d) > 1)
             i, h, p = meta[r, :3]
             out += [(i, h, p - y, p - x + length) for x, y in zip(d[np.r_[0, cut + 1]], d[np.r_[cut, len(d) - 1]], strict=True)]
-        return pd.DataFrame(out, columns=["__id", "__h", "__from", "__to"]).astype({"__id": np.int64, "__h": np.int64, "__from": np.int32, "__to": np.int32})
+        known = np.frombuffer(b"".join(pdf["known"]), np.int64).reshape(-1, 4)
+        return pd.DataFrame(np.concatenate([np.array(out, np.int64).reshape(-1, 4), known]), columns=["__id", "__h", "__from", "__to"]).astype({"__from": np.int32, "__to": np.int32})
 
     return run
 
@@ -304,21 +304,29 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 280, hot: int = HOT
     texts = docs.select("__id", "__h", "text").where(F.octet_length("text") >= length)
     found = materialize(texts.mapInPandas(_anchored(length, width), ANCHORS), "anchors")
     a = found.select("__id", "__h", F.inline(F.arrays_zip("__near", "__p", "__lo", "__hi")))
-    # a row for first bytes that occur again, written out, so that the join deals both sides and Spark can split a hot one
+    # a row for first bytes that occur again, written out
     again = materialize(a.groupBy("__near").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__near", (F.col("__n") > hot).alias("__hot")), "again")
-    # rows of equal id and text are one text with anchors that occur several times
-    one = ["__near", "__p", "__lo", "__hi", "__hot"]
-    live = a.join(again, "__near").groupBy("__id", "__h", *one).agg(F.count(F.lit(1)).alias("times"))
-    want = materialize(live.groupBy("__id", "__h").agg(F.collect_list(F.struct(*one, "times")).alias("__want"), F.count(F.lit(1)).alias("__n"), F.max("__hot").alias("__hot")), "want")
+    # rows of equal id and text are one text that occurs several times
+    copies = materialize(found.groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("__times")).where("__times > 1"), "copies")
+    repeated = not copies.isEmpty()
+    once = (lambda df: df.dropDuplicates(["__id", "__h"])) if repeated else (lambda df: df)
+    a = once(found).select("__id", "__h", F.inline(F.arrays_zip("__near", "__p", "__lo", "__hi")))
+    # few are broadcast; more are joined by a shuffle whose hot keys Spark can split
+    want = a.join(F.broadcast(again) if small_enough(again, BROADCAST_ROWS) else again, "__near").groupBy("__id", "__h").agg(F.collect_list(F.struct("__near", "__p", "__lo", "__hi", "__hot")).alias("__want"), F.count(F.lit(1)).alias("__n"), F.max("__hot").alias("__hot"))
+    want = want.join(copies, ["__id", "__h"], "left") if repeated else want.withColumn("__times", F.lit(1).cast("bigint"))
+    want = materialize(want, "want")
     n, any_hot = want.agg(F.sum("__n"), F.max("__hot")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) // MERGE_ROWS))
-    asked = lambda x: F.filter("__want", lambda w: w["__hot"] == F.lit(x)).alias("__want")
-    with_text = texts.join(want.select("__id", "__h", "__want"), ["__id", "__h"]).dropDuplicates(["__id", "__h"])
-    runs = materialize(with_text.select("__id", "__h", "text", asked(False)).mapInPandas(_runs(length, parts), RUNS), "runs")
-    merged = runs.where("__part >= 0").groupBy("__part").applyInPandas(_merged(length, width), COVER)
-    cover = runs.where("__part < 0").mapInPandas(_known, COVER).union(merged)
+    with_text = once(texts.join(want.select("__id", "__h", "__want", F.coalesce("__times", F.lit(1)).alias("__times")), ["__id", "__h"]))
+
+    def asked(is_hot: bool) -> DataFrame:
+        # plain arrays, which pandas holds without an object for each anchor
+        w = with_text.withColumn("__want", F.filter("__want", lambda x: x["__hot"] == F.lit(is_hot))) if any_hot else with_text
+        return w.where(F.size("__want") > 0).select("__id", "__h", "text", *[F.col(f"__want.{c}").alias(c) for c in WANT[3:7]], "__times")
+
+    cover = asked(False).mapInPandas(_runs(length, parts), RUNS).groupBy("__part").applyInPandas(_merged(length, width), COVER)
     if any_hot:
-        each = materialize(with_text.where(F.exists("__want", lambda w: w["__hot"])).select("__id", "__h", "text", asked(True)).mapInPandas(_starts(length), "__s long, __id long, __h long, __from int"), "starts")
+        each = materialize(asked(True).mapInPandas(_starts(length), "__s long, __id long, __h long, __from int"), "starts")
         often = materialize(each.groupBy("__s").count().where("count > 1").select("__s"), "often")
         cover = cover.union(each.join(often, "__s").select("__id", "__h", "__from", F.col("__from") + length))
     return cover
