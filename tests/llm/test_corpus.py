@@ -169,15 +169,50 @@ def test_licenses(docs):
     assert r[0]["labels"] == "" and r[4]["n_words"] == 0 and r[4]["first_word"] is None
 
 
-def test_licenses_verify_every_beginning(spark):
-    notice = next(t for x, t, _ in licenses.TEMPLATES if x == "gpl-3")
-    old = notice.replace("version 3", "version 2")
-    texts = [f"{old} {notice}", f"{notice} {old}", f"{old} {prose(2, 40)} {old} {notice} {old}", old, f"{old} {old}", notice, None]
-    # these words are the rarest in the corpus, so 3 is no anchor and both versions have the same votes
-    frequent = " ".join(sorted(set(notice.split()) - set("program you can redistribute modify terms published foundation".split())))
-    rows = list(enumerate(texts)) + [(100 + i, frequent) for i in range(20)]
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(7)] == [("gpl-3", 1.0)] * 3 + [("", 0.0)] * 2 + [("gpl-3", 1.0), ("", 0.0)]
+def brute_licenses(texts, anchors=8, least=0.5, slack=3):
+    """labels, score, n_base, first and last place of each text, by plain Python."""
+    import re
+
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = [split(t) for t in texts]
+    df = Counter(w for d in docs for w in set(d))
+    for ws in docs:
+        at = sorted(i for p in licenses.BASE for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split())
+        labels = {x for p, x in licenses.BASE.items() if any(ws[i : i + len(p.split())] == p.split() for i in range(len(ws)))}
+        score = 1.0 if at else 0.0
+        for label, text, keys in licenses.TEMPLATES:
+            t = text.split()
+            once = sorted((w for w in t if t.count(w) == 1), key=lambda w: (df[w], w))
+            votes = Counter(i - t.index(w) for w in [w for w in once if w in ws][:anchors] for i, x in enumerate(ws) if x == w)
+            size = min(anchors, len(once))
+            for begin, n in votes.items():
+                piece = " " + " ".join(ws[max(0, begin - slack) : max(0, begin + len(t) + slack)]) + " "
+                if n >= least * size and all(f" {k} " in piece for k in keys):
+                    labels.add(label)
+                    score = max(score, n / size)
+        yield ",".join(sorted(labels)), score, len(at), at[0] if at else None, at[-1] if at else None, len(ws)
+
+
+def test_licenses_by_brute_force(spark):
+    r = random.Random(12)
+    texts = []
+    for _, text, _ in licenses.TEMPLATES:
+        ws = text.split()
+        for change in (0.0, 0.03, 0.1, 0.3):
+            new = [("other" if r.random() < 0.5 else None) if r.random() < change else w for w in ws]
+            body = " ".join(w for w in new if w).replace(" license ", " License, ")
+            texts.append(prose(r.randrange(99), 30) + ". " + body + "\n" + prose(r.randrange(99), r.randrange(30)))
+        texts.append(" ".join(ws[: len(ws) // 2]))
+    notice = {x: t for x, t, _ in licenses.TEMPLATES}
+    # several notices in one file: each beginning is verified by itself
+    texts += [f"{notice['gpl-2']} {notice['gpl-3']}", f"{notice['gpl-3']} {prose(2, 40)} {notice['gpl-2']}", f"{notice['mit']} {notice['bsd-3']} {notice['apache-2']}", "(C) Released UNDER the MIT-License; CC/BY/NC. apache license, version 2", "cc by ncx under the mit licenses", prose(4, 90), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["labels"], round(x["score"], 9), x["n_base"], x["first_word"], x["last_word"], x["n_words"]) for x in licenses.scan(df).collect()}
+    want = {i: (x[0], round(x[1], 9), *x[2:]) for i, x in enumerate(brute_licenses(texts))}
+    assert got == want
+    whole = [want[5 * k][0] for k in range(len(licenses.TEMPLATES))]
+    assert all(x in w.split(",") for w, (x, _, _) in zip(whole, licenses.TEMPLATES))
+    assert {"gpl-2", "gpl-3"} == set(want[len(texts) - 8][0].split(",")) and want[len(texts) - 4][0] == ""
 
 
 def brute_repeats(texts, n):
