@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         else:
             # buckets with the same largest component form a group
             most = at.groupBy("__b", "__c").count().groupBy("__b").agg(F.max_by("__c", F.struct("count", "__c")).alias("__k"))
+            most = materialize(most, "most")  # so that the join deals both sides and Spark can split a hot bucket
             members = materialize(at.join(most, "__b").select("__k", "__v", "__c").distinct(), "members")
             sets = materialize(full(members.select("__v").distinct()), "groups")
             pairs = _apart(materialize(members.join(sets, "__v"), "grouped"), percent)
