@@ -99,6 +99,27 @@ def test_token_rules_cover_all_tokens(docs):
     assert got["start"].tolist() == [want[k] for k in range(4)]
     for rule in ("start", "most", "share"):
         assert abs(got[rule].sum() - len(ids)) < 1e-9
+    # the other rules, character by character, on sections that cut tokens
+    r = random.Random(7)
+    for trial in range(30):
+        text = "".join(r.choice(["naïve ", "the ", "日本", "\n", "  ", "Tokenization", "ß"]) for _ in range(r.randrange(1, 25)))
+        raw, ids_ = text.encode(), encode(text)
+        cuts = sorted({0, *(len(text[:k].encode()) for k in r.sample(range(len(text)), min(len(text), 5)))})
+        got = tokencount.attribute(length[np.array(ids_)], np.frombuffer(raw, np.uint8), np.array(cuts))
+        begin = [k for k, ch in enumerate(text) for _ in ch.encode()]  # the character of each byte
+        section = [max(k for k, c in enumerate(cuts) if c <= len(text[:x].encode())) for x in range(len(text))]
+        most, share, at = [0] * len(cuts), [0.0] * len(cuts), 0
+        for i in ids_:
+            n = int(length[i])
+            # a token's characters: from the one that holds its first byte to the last one that began by its end
+            chars = range(begin[at], max(begin[at], begin[at + n - 1]) + 1)
+            part = Counter(section[x] for x in chars)
+            most[min(part, key=lambda k: (-part[k], k))] += 1
+            for k, c in part.items():
+                share[k] += c / len(chars)
+            at += n
+        assert got["most"].tolist() == most, text
+        assert np.allclose(got["share"], share)
     total = tokencount.count_tokens(docs).groupBy("doc_id").sum("n_tokens", "n_chars").collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in total:
