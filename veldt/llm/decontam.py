@@ -304,16 +304,22 @@ def op10_positional_index(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g, w[i:i + least(len(w), 10) - 1] AS gl
         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM iw WHERE len(w) > 0)),
 dg AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hit AS (SELECT doc_id, i, win.n, item_id FROM dg JOIN win ON dg.n = win.n AND dg.g = win.g),
 words AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+dt AS (SELECT doc_id, w, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM dw),
+tf AS (SELECT t, count(*) AS c FROM dt GROUP BY t),
+rare AS (SELECT item_id, gl, j, gl[j] AS t FROM (SELECT item_id, gl, j, coalesce(c, 0) AS c, min(coalesce(c, 0)) OVER (PARTITION BY item_id, gl) AS least
+           FROM (SELECT item_id, gl, unnest(range(1, len(gl) + 1)) AS j FROM win) LEFT JOIN tf ON gl[j] = t) WHERE least > 0 QUALIFY row_number() OVER (PARTITION BY item_id, gl ORDER BY c, j) = 1),
+near AS (SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM rare JOIN dt ON rare.t = dt.t
+           WHERE list_bool_and(list_transform(range(1, len(gl) + 1), lambda k: k = j OR (p - j + k + 2 >= 1 AND list_contains(w[greatest(p - j + k - 2, 1):greatest(p - j + k + 2, 1)], gl[k]))))) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS c, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
-SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(words.c, 0)::BIGINT AS n_hit, coalesce(its.c, 0)::BIGINT AS n_items,
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(words.c, 0)::BIGINT AS n_hit, coalesce(near.c, 0)::BIGINT AS n_near_items, coalesce(its.c, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, words.c IS NOT NULL AS contaminated
-FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
+FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id LEFT JOIN near ON dw.doc_id = near.doc_id
 """
 
 
