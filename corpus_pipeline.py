@@ -14,7 +14,7 @@ from veldt.llm.common import Table, drop_scratch, scratch_mark, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a certified cutoff go."""
+    """Documents that fail the base rule or exceed their language's certified policy go."""
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -40,9 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix_sources)]
 
-#: The quality cutoffs and the near-duplicate components depend on one another's
-#: rows. test_pipeline tests the stages one by one, by the operators themselves;
-#: no brute-force version of the whole exists.
+#: The quality policies and the near-duplicate components depend on one another's
+#: rows; tests/llm/test_pipeline.py compares the rows of run() with all five stages
+#: in plain Python.
 ORACLE_SQL = None
 
 
