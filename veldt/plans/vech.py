@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veldt.operators import ivf, relational as R, vector as V
+from veldt.operators import evaluation as E, index as I, ivf, relational as R, vector as V
 from veldt.operators.relational import gather
 
 from .opqueries import read
@@ -173,6 +173,15 @@ def _micro():
     add("ivf_post_reviews", lambda s, d: post(named(ann(s, d, "r", 100), "rv_reviewkey", "rv_rating"), "rv_rating >= 4").drop("rv_rating"), part.format(_top(*r, k=100), *r[:2], "rv_rating >= 4", K))
     add("ivf_post_images", lambda s, d: post(named(ann(s, d, "i", 100), "i_imagekey", "i_variant"), "i_variant = 'MAIN'").drop("i_variant"), part.format(_top(*i, k=100), *i[:2], "i_variant = 'MAIN'", K))
     add("ivf_post_filter_partitioned", lambda s, d: partitioned(s, d, named(ann(s, d, "r", 100), "rv_reviewkey", "rv_rating"), [f"rv_rating >= {g + 1}" for g in range(5)]).drop("rv_rating"), part.format(_top(*r, k=100), *r[:2], "rv_rating >= qid // 50 % 5 + 1", K))
+    # approximate: the share of the true neighbours that is found
+    def measured(s, d, spec, params):
+        got = I.search_index(I.build_index(images(s, d), *i[1:], spec), queries_(s, d), "qid", "qv", K, params)
+        per = E.recall_per_query(_out(got, "i_imagekey"), _out(near_images(s, d, "true"), "i_imagekey"), "qid", "id")
+        n, hit = F.sum("n_truth"), F.sum("n_hit")
+        return per.agg(F.count(F.lit(1)).alias("n_queries"), n.alias("n_truth"), hit.alias("n_hit"), (hit / n).alias("recall"))
+
+    add("hnsw_recall", lambda s, d: measured(s, d, "HNSW32", "efSearch=128"), None)
+    add("pq_recall", lambda s, d: measured(s, d, "IVF8,PQ16", "nprobe=8,k_factor=16"), None)
     add("knn_inline_expr", lambda s, d: _out(ann(s, d, "r", nprobe=8, refine=False, on=F.col("rv_rating") == F.col("q_rating")), "rv_reviewkey"), _top(*r, "rv_rating = q_rating"))
     add("knn_correlated", lambda s, d: _out(V.correlated_knn(reviews(s, d), queries_(s, d), F.expr("rv_rating = q_rating"), "rv_reviewkey", "qid", "rv_embedding", "qv", K), "rv_reviewkey"), _top(*r, "rv_rating = q_rating"))
     for f in FAMILIES:
