@@ -1,6 +1,10 @@
 """Operators on tiny inputs with known results, and every query against DuckDB on the smallest tables."""
 
+import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -12,6 +16,7 @@ from veldt.plans import registry
 from veldt.session import Session, parse_schema
 from veldt.sources import files
 
+ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
 DATA = [([1.0, 1, 1, 1, 1], "a"), ([1.0, 3, 1, 3, 1], "b"), ([2.0, 2, 8, 8, 8], "c"), ([8.0, 8, 2, 2, 2], "d"), ([3.0, 1, 3, 1, 3], "e")]
 QUERIES = [(0, [0.99, 1.01, 0.98, 1.02, 0.99]), (1, [8.05, 7.55, 1.95, 2.10, 1.99])]
@@ -229,6 +234,14 @@ def test_session(spark, tmp_path):
         s.load_table("t", ["nope"])
 
 
+def test_workers_elsewhere(tmp_path):
+    """Queries with Python workers also run where nothing but the driver finds the package."""
+    code = f"import sys; sys.path.insert(0, {str(ROOT)!r})\nimport __spark_entry__ as e\nfrom pyspark.sql import SparkSession\ns = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\nprint('rows', e.queries()['knn_l2'](s, {SF!r}).count(), e.entry(s).count())"
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200 20" in out.stdout, out.stderr[-2000:]
+
+
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()

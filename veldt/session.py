@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -17,6 +21,24 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES[:8] + ["embeddings"]
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application, unless it is installed, on the PYTHONPATH or, with a local master, in the folder they start in."""
+    sc, home = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        seen.append(os.getcwd())
+    if sc.applicationId in _shipped or home in seen or os.path.basename(home).endswith("-packages"):
+        return
+    folder = tempfile.mkdtemp(prefix="veldt-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    # the driver's file server hands it out for as long as the application lasts
+    sc.addPyFile(shutil.make_archive(f"{folder}/veldt", "zip", home, "veldt"))
+    _shipped.add(sc.applicationId)
+
+
 def parse_schema(ddl: str) -> dict[str, T.StructType]:
     """Table name and schema of each CREATE TABLE in a text. Character types have no padding; TIME is kept as microseconds."""
     out = {}
