@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.functions.exprs import DISTANCES
+from veldt.scratch import materialize
 
-from .vector import FOUND, _joined, _matrix, check, distances, kernel, knn_join, nearest, query_blocks
+from .vector import FOUND, _joined, _matrix, check, distances, kernel, knn_join, nearest, query_blocks, searched
 
 #: Bytes of vectors that k-means may be fitted on.
 SAMPLE_BYTES = 512 << 20
@@ -128,15 +129,14 @@ class IVFIndex:
         if self.centroids is None or not len(self.centroids):
             return knn_join(data, query, self.key, query_key, self.col, query_col, k, radius, self.metric, distance=distance)
         spark, parts = lists.sparkSession, []
-        for ids, q, _ in query_blocks(query, query_key, query_col):
+        for ids, q, _ in query_blocks(query, query_key, query_col, k=k):
             probed = np.zeros((len(ids), len(self.centroids)), bool)
             if len(ids):
                 np.put_along_axis(probed, _closest(self.centroids, q, self.metric, nprobe), True, axis=1)
             found = self._probe(lists, ids, q, probed, k, radius)
             if refine and not probed.all():
                 # a row a query of the block comes to the driver
-                found = nearest(found, ["q"], "d", "k", k, self.metric)
-                found = spark.createDataFrame(found.toPandas(), FOUND)
+                found = materialize(nearest(found, ["q"], "d", "k", k, self.metric), "found")
                 last = {r[0]: r[1] for r in found.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, (F.max if self.metric == "L2" else F.min)("d"))).collect()}
                 more = self._open(q, np.array([last.get(i) for i in ids.tolist()], float)) & ~probed
                 found = found.union(self._probe(lists, ids, q, more, k, radius)) if more.any() else found
@@ -153,8 +153,10 @@ class IVFIndex:
         some = np.flatnonzero(probed.any(axis=0)).tolist()
         rows = lists if len(some) == probed.shape[1] else lists.where(F.col("__list").isin(some))
         rows = rows.select(F.col(self.key).cast("bigint").alias("k"), F.xxhash64(self.col).alias("h"), F.col(self.col).alias("v"), F.col("__list").alias("l"))
-        allowed = (lambda batch: None) if probed.all() else (lambda batch: probed[:, batch.column("l").to_numpy()])
-        return rows.mapInArrow(kernel(ids, q, self.metric, k, radius, allowed), FOUND)
+        if probed.all():
+            return searched(rows, kernel(ids, q, self.metric, k, radius))
+        members = [np.flatnonzero(p) for p in probed.T]
+        return searched(rows, kernel(ids, q, self.metric, k, radius, group=lambda batch: batch.column("l").to_numpy(), members=members))
 
     def _open(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
         """Which lists may hold a vector as near as the k-th found (NaN: fewer than k), by the triangle inequality or Cauchy-Schwarz; a little slack for rounding."""
