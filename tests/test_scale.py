@@ -125,3 +125,18 @@ def test_project_distance_of_odd_vectors(spark, metric, monkeypatch):
     text = lambda df: sorted(map(str, df.collect()))
     assert text(got) == text(want) and got.count() == 64
     assert V.project_distance(d.where("k > 50"), q, "v", "qv").count() == 0 == V.project_distance(d, q.where("qid > 50"), "v", "qv").count()
+
+
+@pytest.mark.parametrize("k", [2, 5, 9])
+def test_project_distance_top_k_of_odd_vectors(spark, k):
+    nan, inf = float("nan"), float("inf")
+    odd = [[1.0, 2.0], None, [nan, 0.0], [inf, 1.0], [None, 1.0], [1.0, 2.0], [0.5, 0.25]]
+    d = spark.createDataFrame([(i, v, f"s{i}") for i, v in enumerate(odd)], "k long, v array<float>, s string")
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "qid long, qv array<double>")
+    got = V.project_distance_top_k(d, q, "k", "qid", "v", "qv", k)
+    want = V.nearest(V.project_distance(d, q, "v", "qv", keep_data=False, keep_query=False), ["qid"], "Distance", "k", k)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # by hand: an infinite distance is nearer than none, which comes after all others
+    assert [r["k"] for r in got.where("qid = 0").orderBy(F.col("Distance").asc_nulls_last(), "k").collect()] == [0, 5, 6, 3, 2, 1, 4][:k]
+    some = V.project_distance_top_k(d.where("k in (0, 5, 6)"), q.where("qid in (0, 6)"), "k", "qid", "v", "qv", k)
+    assert some.count() == 2 * min(k, 3)

@@ -167,7 +167,7 @@ def _micro():
     add("knn_post_partitioned_images", lambda s, d: partitioned(s, d, named(near_images(s, d, "true", 100), "i_imagekey", "i_variant"), ["i_variant = 'MAIN'"] * 5).drop("i_variant"), part.format(_top(*i, k=100), *i[:2], "i_variant = 'MAIN'", K))
     add("knn_post_filter_partitioned", lambda s, d: partitioned(s, d, named(near_reviews(s, d, "true", 100), "rv_reviewkey", "rv_rating"), [f"rv_rating >= {g + 1}" for g in range(5)]).drop("rv_rating"), part.format(_top(*r, k=100), *r[:2], "rv_rating >= qid // 50 % 5 + 1", K))
     add("project_distance", lambda s, d: V.project_distance(images(s, d).select("i_imagekey", "i_embedding"), queries_(s, d).select("qid", "qv"), "i_embedding", "qv", keep_data=False, keep_query=False).select("qid", F.col("i_imagekey").alias("id"), _rounded("Distance").alias("dist")), f"SELECT qid, i_imagekey AS id, {L2.format(a='i_embedding', b='qv')} AS dist FROM images, qs")
-    add("project_distance_top_k", lambda s, d: V.nearest(V.project_distance(images(s, d), queries_(s, d), "i_embedding", "qv", keep_data=False, keep_query=False), ["qid"], "Distance", "i_imagekey", K).select("qid", F.col("i_imagekey").alias("id"), F.round("Distance", 5).alias("dist")), _top(*i))
+    add("project_distance_top_k", lambda s, d: V.project_distance_top_k(images(s, d), queries_(s, d), "i_imagekey", "qid", "i_embedding", "qv", K).select("qid", F.col("i_imagekey").alias("id"), F.round("Distance", 5).alias("dist")), _top(*i))
     # by index: exact where refined or all lists are probed
     add("ivf_full_probe", lambda s, d: _out(ann(s, d, "i", nprobe=8, refine=False), "i_imagekey"), _top(*i))
     add("ivf_recall", lambda s, d: _out(ann(s, d, "i"), "i_imagekey"), _top(*i))
