@@ -140,3 +140,26 @@ def test_project_distance_top_k_of_odd_vectors(spark, k):
     assert [r["k"] for r in got.where("qid = 0").orderBy(F.col("Distance").asc_nulls_last(), "k").collect()] == [0, 5, 6, 3, 2, 1, 4][:k]
     some = V.project_distance_top_k(d.where("k in (0, 5, 6)"), q.where("qid in (0, 6)"), "k", "qid", "v", "qv", k)
     assert some.count() == 2 * min(k, 3)
+
+
+@pytest.mark.parametrize("name", ["knn_post_partitioned", "knn_post_partitioned_images", "knn_post_filter_partitioned", "ivf_post_filter_partitioned"])
+def test_partitioned_queries_search_once(spark, name):
+    from veldt.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parquet" in plan
+
+
+def test_refined_search_leaves_hits_with_the_executors(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from veldt.operators import ivf
+
+    r = np.random.default_rng(8)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(400, 4)))], "k long, v array<double>")
+    q = d.where("k < 20").select(F.col("k").alias("qid"), F.col("v").alias("qv"))
+    index = ivf.IVFIndex.build(d, "k", "v", "IVF8,Flat")
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("hits went to the driver"))
+    monkeypatch.setattr(V, "BLOCK_HITS", 45)
+    got = index.search(q, "qid", "qv", 9, nprobe=2, refine=True)
+    assert rows(got, "qid", "k") == rows(V.knn_join(d, q, "k", "qid", "v", "qv", 9), "qid", "k")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veldt.operators import evaluation as E, index as I, ivf, relational as R, vector as V
 from veldt.operators.relational import gather
+from veldt.scratch import materialize
 
 from .opqueries import read
 
@@ -159,7 +160,8 @@ def _micro():
 
     # one search of a larger k, then a scatter by query, each part filtered, sorted and cut, and gathered
     def partitioned(s, d, near, conds):
-        group = (F.col("qid") / 50).cast("bigint") % len(conds)
+        # written once, as each part would search anew
+        near, group = materialize(near, "near"), (F.col("qid") / 50).cast("bigint") % len(conds)
         ports = [near.where(group == g) for g in range(len(conds))]
         return gather([R.limit_per_group(p.where(c), ["qid"], [("dist", "asc"), ("id", "asc")], K) for p, c in zip(ports, conds, strict=True)])
 
