@@ -166,7 +166,7 @@ def test_refined_search_leaves_hits_with_the_executors(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("on", ["a = b", "a <=> b", "a BETWEEN b - 1 AND b AND (w > u OR a = 2)", "a > 1"])
-@pytest.mark.parametrize("index", [None])
+@pytest.mark.parametrize("index", [None, "IVF4,Flat"])
 def test_conditional_search_by_classes(spark, monkeypatch, on, index):
     from veldt.operators import ivf
 
@@ -200,3 +200,21 @@ def test_conditional_search_by_classes(spark, monkeypatch, on, index):
     assert all(holds(i, j) for j, i in rows(got, "qid", "row")) and len(set(rows(got, "qid", "row"))) == len(want)
     # no distance is an expression on pairs of rows
     assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conditional_search_of_some_lists(spark):
+    from veldt.operators import ivf
+
+    r = np.random.default_rng(10)
+    d = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(r.normal(size=(300, 2)))], "k long, v array<double>, a int")
+    q = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(r.normal(size=(12, 2)))], "qid long, qv array<double>, b int")
+    index = ivf.IVFIndex.build(d, "k", "v", "IVF5,Flat")
+    lists, place = {x["k"]: x["__list"] for x in index.lists.collect()}, {x["k"]: np.array(x["v"]) for x in d.collect()}
+    want, near = [], []
+    for x in q.collect():
+        probed = np.argsort(((index.centroids - np.array(x["qv"])) ** 2).sum(axis=1))[:2]
+        far = {k: ((v - np.array(x["qv"])) ** 2).sum() for k, v in place.items() if k % 3 == x["b"] and lists[k] in probed}
+        want += [(x["qid"], k) for k in sorted(far, key=far.get)[:4]]
+        near += [(x["qid"], k) for k, v in far.items() if v < 0.5]
+    assert rows(index.search(q, "qid", "qv", 4, nprobe=2, on=F.expr("a = b")), "qid", "k") == sorted(want)
+    assert rows(index.search(q, "qid", "qv", radius=0.5, nprobe=2, on=F.expr("a = b")), "qid", "k") == sorted(near)

@@ -18,10 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldt.functions.exprs import DISTANCES
 from veldt.scratch import materialize
 
-from .vector import FOUND, _joined, _matrix, check, distances, kernel, knn_join, nearest, query_blocks, searched
+from .vector import FOUND, _joined, _matrix, check, conditional, distances, kernel, knn_join, nearest, query_blocks, searched
 
 #: Bytes of vectors that k-means may be fitted on.
 SAMPLE_BYTES = 512 << 20
@@ -166,23 +165,16 @@ class IVFIndex:
         return (far >= 0) & ~(bound > (worst + 1e-9 * (1 + np.abs(worst)))[:, None])
 
     def _conditional(self, lists: DataFrame, query: DataFrame, query_key: str, query_col: str, k: int | None, radius: float | None, nprobe: int, on: Column, distance: str) -> DataFrame:
-        """Search under a condition on both sides, settled by a join on the list before a distance is computed."""
-        if self.centroids is None or not len(self.centroids):
-            pairs = lists.join(query, on)
-        else:
-            c, metric, n = self.centroids, self.metric, min(nprobe, len(self.centroids))
-
-            @F.pandas_udf("array<int>")
-            def nearest_lists(v: pd.Series) -> pd.Series:
-                return pd.Series([list(map(int, r)) for r in _closest(c, _matrix(v), metric, n)])
-
-            pairs = lists.join(query.withColumn("__probe", F.explode(nearest_lists(F.col(query_col)))), (F.col("__list") == F.col("__probe")) & on)
-        pairs = pairs.withColumn(distance, DISTANCES[self.metric](self.col, query_col))
-        if radius is not None:
-            pairs = pairs.where(F.col(distance) < radius if self.metric == "L2" else F.col(distance) > radius)
-        else:
-            pairs = nearest(pairs, [query_key], distance, self.key, k, self.metric)
-        return pairs.select(*[x for x in query.columns if x != query_col], *[x for x in lists.columns if x not in (self.col, "__list")], distance)
+        """Search under a condition on both sides, settled before a distance is computed."""
+
+        def probed(q: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(q), len(self.centroids)), bool)
+            np.put_along_axis(out, _closest(self.centroids, q, self.metric, nprobe), True, axis=1)
+            return out
+
+        some = probed if self.centroids is not None and len(self.centroids) else None
+        found = conditional(lists, query, on, self.key, query_key, self.col, query_col, k, radius, self.metric, some)
+        return _joined(lists.drop("__list"), query, self.key, query_key, self.col, query_col, found, False, False, distance, k, self.metric, on)
 
     def _radii(self) -> np.ndarray:
         """The distance of each list's farthest vector from its centroid; a row a list comes to the driver."""
